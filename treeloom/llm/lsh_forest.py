@@ -6,10 +6,10 @@
    a region is a run with the same first DEPTH values, and neighbours in it, which share the longest prefix, are
    candidates. Where a region is dense, its order is decided deeper down: the depth adapts to the region. Range
    partitions cut a hot region wherever needed, so none lands in one task.
-3. Candidates are screened by their signatures, then confirmed by exact Jaccard similarity of the full sets, the best
-   of each class first; pairs that a confirmed chain already joins need no confirmation.
-4. Regions that still hold several groups get the rest: all pairs across groups, in blocks of BLOCK classes, screened by
-   signature and confirmed like the others. So what the neighbours missed within a region is not lost.
+3. Candidates are screened by their signatures. The clusters that they span go through exact Jaccard similarity on the
+   full sets, all pairs across groups and not only the candidates: first inside blocks of BLOCK classes; then, where a
+   cluster is larger and still in several groups, what lies outside its largest group meets every other block. Only the
+   links that join groups are emitted.
 
 A pair at similarity s shares no region with probability (1 - s**DEPTH)**TREES: 2.7e-6 at 0.8, and far less above it.
 The screen at 0.55 lies six standard deviations under 0.8.
@@ -34,7 +34,8 @@ from treeloom.llm.common import stored
 DEPTH, TREES, TAIL = 4, 24, 4
 PERMUTATIONS = DEPTH * TREES
 SCREEN = 0.55
-BLOCK = 1000
+#: Classes in a block, and hashes, at which a cluster is cut into more blocks.
+BLOCK, BLOCK_HASHES = 1000, 2_000_000
 #: Ids of classes with candidates are broadcast up to this number (8 bytes each), beyond it the texts are shuffled.
 BROADCAST_IDS = 4_000_000
 SALTS = 16
@@ -188,13 +189,6 @@ def components(edges: DataFrame) -> DataFrame:
         said = told
 
 
-def _labelled(edges: DataFrame, parts: DataFrame) -> DataFrame:
-    """Edges whose ends are in different components so far."""
-    for end in ("a", "b"):
-        edges = edges.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}")), end, "left")
-    return edges.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).drop("part_a", "part_b")
-
-
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node, hashes of the full sets of some classes: their texts are read again, so that no set is kept for all."""
 
@@ -208,84 +202,86 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return texts.join(nodes, "node", "left_semi").mapInArrow(run, "node bigint, hashes array<bigint>")
 
 
-def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges with whether their full sets are alike enough."""
-    both = edges.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y")).cast("bigint")
-    alike = common * 100 >= (F.size("x") + F.size("y") - common) * percent
-    return both.groupBy("a", "b").agg(F.bool_or(alike).alias("alike"))
-
+def _linker(percent: int):
+    """links(node, group, hashes): pairs of a block whose full sets are alike, as many as it takes to join their groups.
 
-def _across(regions: DataFrame, parts: DataFrame, signs: DataFrame) -> DataFrame:
-    """a, b: pairs that share a region, lie in different groups, and pass the screen. Blocks against blocks."""
-
-    def run(key, frame):
-        import pandas as pd
-
-        frame = frame.drop_duplicates("node")
-        node, part, block = (frame[c].to_numpy() for c in ("node", "part", "block"))
-        sign = np.frombuffer(b"".join(frame["sign"]), ">u4").reshape(-1, PERMUTATIONS)
-        same, found = key[1] == key[2], []
-        for i in range(len(node)):
-            if block[i] != key[1]:
-                continue
-            other = (part != part[i]) & ((node > node[i]) if same else (block == key[2]))
-            near = np.flatnonzero(other)
-            near = near[(sign[near] == sign[i]).mean(axis=1) >= SCREEN]
-            found += [(min(node[i], node[j]), max(node[i], node[j])) for j in near]
-        return pd.DataFrame(found, columns=["a", "b"])
+    One pass over the flat hashes of the block gives a node's intersections with all others. Only nodes outside the
+    largest group need that pass, for any link across groups has such an end.
+    """
 
-    rows = regions.select("region", "node").distinct().join(parts, "node", "left").select("region", "node", F.coalesce("component", "node").alias("part"))
-    mixed = rows.groupBy("region").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("region", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.join(signs.select("node", "sign"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "part", "block", "sign")
-    return rows.groupBy("region", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+    def links(node: np.ndarray, group: np.ndarray, hashes: list[np.ndarray]) -> list[tuple[int, int]]:
+        size = np.array([len(x) for x in hashes], np.int64)
+        values, code = np.unique(np.concatenate(hashes), return_inverse=True)
+        start = np.r_[0, np.cumsum(size)]
+        names, group = np.unique(group, return_inverse=True)
+        members = {g: np.flatnonzero(group == g).tolist() for g in range(len(names))}
+        marked, found, waiting = np.zeros(len(values), bool), [], list(range(len(node)))
+        while waiting and len(members) > 1:
+            largest = max(members, key=lambda g: len(members[g]))
+            i = next((k for k in waiting if group[k] != largest), None) if len(found) else waiting[0]
+            if i is None:
+                break
+            waiting.remove(i)
+            own = code[start[i] : start[i + 1]]
+            marked[own] = True
+            common = np.add.reduceat(marked[code].astype(np.int64), start[:-1])
+            marked[own] = False
+            for j in np.flatnonzero((common * 100 >= (size + size[i] - common) * percent) & (group != group[i])).tolist():
+                if group[j] != group[i]:
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
+                    small, big = sorted((group[i], group[j]), key=lambda g: len(members[g]))
+                    group[members[small]] = big
+                    members[big] += members.pop(small)
+        return found
+
+    def run(key, rows):
+        node, group = rows["node"].to_numpy(), rows["part"].to_numpy()
+        hashes = [x.values.to_numpy() for x in rows["hashes"].combine_chunks()]
+        found = links(node, group, hashes) if len(node) > 1 else []
+        return pa.table({"a": pa.array([int(x[0]) for x in found], pa.int64()), "b": pa.array([int(x[1]) for x in found], pa.int64())})
+
+    return run
+
+
+def _links(docs: DataFrame, edges: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """node, component by confirmed links, within the clusters that the candidate edges span."""
+    clusters = components(edges)
+    roots = clusters.select("component", F.col("component").alias("cluster")).distinct().toDF("node", "cluster")
+    clusters = stored(roots.union(clusters.toDF("node", "cluster")), "clusters")
+    held = stored(_sets(docs, clusters.select("node"), width), "sets")
+    sized = clusters.join(held.select("node", F.size("hashes").alias("size")), "node")
+    blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_HASHES)).cast("int").alias("blocks"))
+    placed = clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = stored(placed, "placed")
+    inner = placed.join(held, "node").withColumn("part", F.col("node"))
+    found = stored(inner.groupBy("cluster", "block").applyInArrow(_linker(percent), "a bigint, b bigint"), "links")
+    parts = components(found)
+    if placed.where("blocks > 1").isEmpty():
+        return parts
+    rows = placed.where("blocks > 1").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    counts = rows.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    main = counts.groupBy("cluster").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = main.where("`all` > most").select("cluster", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("odd_blocks"))
+    rows = rows.join(main, "cluster").withColumn("odd", F.when(F.col("part") != F.col("main"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("odd_blocks")).cast("int")))
+    seat = F.transform(F.sequence(F.lit(0), F.col("odd_blocks") - 1), lambda o: F.struct(F.col("block").alias("i"), o.alias("j")))
+    visit = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("i"), F.col("odd").alias("j")))
+    pairs = rows.withColumn("at", F.explode(F.array_distinct(F.when(F.col("odd").isNull(), seat).otherwise(F.concat(seat, visit)))))
+    pairs = pairs.select("cluster", "at.i", "at.j", "node", "part").join(held, "node")
+    more = pairs.groupBy("cluster", "i", "j").applyInArrow(_linker(percent), "a bigint, b bigint")
+    return components(found.union(more))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document. 100 * intersection >= percent * union links two."""
     every = stored(_signatures(docs.select(F.col("doc_id").cast("bigint"), "text"), width), "signatures")
     able = every.where("set_key is not null and doc_id is not null")
-    classes = able.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    classes = stored(classes, "classes")
+    classes = stored(able.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
     signs = able.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "sign")
     signs = stored(signs, "signs")
-    regions = stored(_neighbours(_tree_rows(signs)), "regions")
-
-    edges = regions.where("before is not null and before != node").select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct()
-    edges = stored(_screened(edges, signs), "edges")
-    links, parts, tried, rest = None, None, None, False
-    sets = None
-    top = 1
-    while True:
-        open_edges = edges if tried is None else edges.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        open_edges = open_edges if parts is None else _labelled(open_edges, parts)
-        if top is not None:  # the likeliest of each class first; a few per class, more in each round
-            ends = open_edges.select(F.explode(F.array("a", "b")).alias("end"), "a", "b", "likeness")
-            best = ends.groupBy("end").agg(F.expr(f"slice(sort_array(collect_list(struct(likeness, a, b)), false), 1, {top})").alias("best")) if top > 1 else ends.groupBy("end").agg(F.array(F.max(F.struct("likeness", "a", "b"))).alias("best"))
-            now = best.select(F.explode("best").alias("e")).select("e.a", "e.b").distinct()
-        else:
-            now = open_edges.select("a", "b")
-        now = stored(now, "picked")
-        if now.isEmpty():
-            if rest or not edges.take(1) and not regions.take(1):
-                break
-            rest, top = True, None
-            none = every.sparkSession.createDataFrame([], "node bigint, component bigint")
-            more = _across(regions, parts if parts is not None else none, signs)
-            edges = stored(more.withColumn("likeness", F.lit(1.0)), "edges")
-            sets = None
-            continue
-        if sets is None:
-            sets = stored(_sets(docs, edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width), "sets")
-        judged = stored(_confirmed(now, sets, percent), "judged")
-        tried = judged if tried is None else tried.unionByName(judged)
-        links = tried.where("alike").select("a", "b")
-        parts = components(links)
-        top = None if top is None or top >= 1 else top * 4
-        if rest:
-            break
+    near = _neighbours(_tree_rows(signs)).where("before is not null and before != node")
+    near = near.select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct()
+    edges = stored(_screened(near, signs), "edges")
+    parts = None if edges.isEmpty() else _links(docs, edges, width, percent)
 
     out = every.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     shared = classes.where("n > 1").select("set_key", F.col("node"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
