@@ -51,3 +51,26 @@ def let(value: Column, body) -> Column:
 def words_of(text: Column) -> Column:
     """The words of a text, in order; an empty array for null, empty and blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+
+
+def window_hashes(words: Column, width: int) -> Column:
+    """A hash for every window of width words, in order, for arrays of at least width words.
+
+    Hashes of single words are combined by doubling, so a window costs a few steps and not width of them.
+    """
+    n = F.size(words)
+
+    def step(reach: int, h: Column, done: Column | None, length: int) -> Column:
+        """h: hashes of windows of reach words; done: of the length words that the lower bits of width stand for."""
+        if width & reach:
+            joined = h if done is None else F.zip_with(done, F.slice(h, length + 1, n), lambda x, y: F.xxhash64(x, y))
+            if reach * 2 > width:
+                return F.slice(joined, 1, n - (width - 1))
+            return let(joined, lambda d: double(reach, h, d, length + reach))
+        return double(reach, h, done, length)
+
+    def double(reach: int, h: Column, done: Column | None, length: int) -> Column:
+        twice = F.zip_with(h, F.slice(h, reach + 1, n), lambda x, y: F.xxhash64(x, y))
+        return let(twice, lambda t: step(reach * 2, t, done, length))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: step(1, h, None, 0))
