@@ -1,4 +1,68 @@
-"""Corpus pipeline (its stages follow)."""
+"""Corpus pipeline: documents pass quality rules, near-duplicate removal, benchmark decontamination, secret masking, and
+come out as token digests. Each stage's result is written as Parquet in the shared folder and read again.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Stages decide by doc_id: rows without one can't be addressed and pass the filters; rows that repeat one are one document.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from treeloom.llm import decontamination, lsh_forest, quality_mcd, secret_scan, spm_bpe
+from treeloom.llm.common import stored, table
+from treeloom.llm.queries import piece_model
+
+#: Ids to drop up to which they are broadcast (8 bytes each); beyond, documents and ids are shuffled.
+BROADCAST_IDS = 4_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    ids = stored(ids.select("doc_id").where("doc_id is not null").distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, quality_mcd.judge(docs).where("not kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest id. Shingles of five words, similarity 0.8."""
+    kept = _without(docs, lsh_forest.near_duplicates(docs).where("not kept"))
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return once.unionByName(kept.where("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, decontamination.matches(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = secret_scan.redact(docs)
+    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return spm_bpe.encode_documents(docs, piece_model())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_dedup),
+    ("decontamination", decontaminate),
+    ("secret scan", mask_secrets),
+    ("sentencepiece", encode),
+]
+
+#: Robust estimates, forests and merge rounds have no SQL; the tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stored(stage(spark, docs, sf_dir), f"stage{k}")
+    return docs
