@@ -15,7 +15,7 @@ def read_node_files(spark: SparkSession, paths: str | list[str], more_features:
     reader = spark.read.option("recursiveFileLookup", recursive)
     reader = reader.option("pathGlobFilter", "*.swc") if recursive else reader
     files = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("tree_id"), "value")
-    lines = F.filter(F.transform(F.split("value", "\r\n|\r|\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split("value", "\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     files = files.select("tree_id", lines.alias("lines"))
     empty = files.where(F.size("lines") == 0).select("tree_id", F.lit("empty").alias("reason"))
     comma = F.get("lines", F.lit(0)).contains(",")
