@@ -120,6 +120,8 @@ class Model:
         return np.stack([-np.bincount(owner, logs[code, k], minlength=len(texts)) / size for k in range(len(self.languages))], axis=1), letters
 
     def calibrate(self, texts: list[str], labels: list[str]) -> None:
+        if not texts:
+            return
         cross, letters = self.cross_entropy(texts)
         right = np.array([self.languages.index(x) for x in labels])
         use = letters > 0
