@@ -1,6 +1,6 @@
 """Documents that hold a passage of a benchmark, by SimHash of item-sized windows. Native expressions only.
 
-Texts and items are words (A-Z as a-z), and a window or item is the multiset of its SHINGLE-word shingles.
+Texts and items are words in lower case, and a window or item is the multiset of its SHINGLE-word shingles.
 
 1. Windows: a window of an item's length can only reach the similarity asked for if it shares a shingle with an item. So
    every shingle of every document is looked up among the items' shingles, and the alignments that the hits give, moved
@@ -29,13 +29,8 @@ SHINGLE, RADIUS = 5, 31
 BROADCAST_SHINGLES = 1_000_000
 
 
-def _lowered(text: Column) -> Column:
-    """A-Z as a-z: lower() where the text is ASCII, which is far faster; letter by letter elsewhere."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-
-
 def _split(text: Column) -> Column:
-    bare = F.btrim(_lowered(text), F.lit(WHITE))
+    bare = F.btrim(F.lower(text), F.lit(WHITE))
     return F.when(bare != "", F.split(bare, SPACE + "+"))
 
 
