@@ -11,8 +11,10 @@
    cluster is larger and still in several groups, what lies outside its largest group meets every other block. Only the
    links that join groups are emitted.
 
-A pair at similarity s shares no region with probability (1 - s**DEPTH)**TREES: 2.7e-6 at 0.8, and far less above it.
-The screen at 0.55 lies six standard deviations under 0.8.
+A pair at similarity s shares no region with probability (1 - s**DEPTH)**TREES: 3.2e-6 at 0.8, and far less above it.
+The screen at 0.55 lies six standard deviations under 0.8. Sharing a region is not yet being neighbours: where rows unlike
+both sort between the two in every region they share, the screen cuts the chain, and a link can be lost if nothing else
+joins their clusters. That chance grows with dense regions of unlike texts, and has no proven bound.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a text shorter than a shingle is
 one shingle; rows that share a doc_id count as one node; a null doc_id stands alone (component null, kept); an empty
