@@ -41,6 +41,8 @@ BLOCK, BLOCK_HASHES = 1000, 2_000_000
 #: Ids of classes with candidates are broadcast up to this number (8 bytes each), beyond it the texts are shuffled.
 BROADCAST_IDS = 4_000_000
 SALTS = 16
+#: Edges that a task of components() contracts at once.
+CONTRACTED = 200_000
 
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -169,18 +171,48 @@ def _screened(edges: DataFrame, signs: DataFrame) -> DataFrame:
     return both.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a bigint, b bigint, likeness double")
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """v, u: edges with the same components as a, b, of every CONTRACTED edges only the stars around their smallest nodes."""
+
+    def stars(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for a, b in pairs:
+            low, high = sorted((top(a), top(b)))
+            up[high] = low
+        found = [(top(x), x) for x in up if up[x] != x]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["v", "u"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: list[tuple[int, int]] = []
+        for batch in batches:
+            pairs += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            if len(pairs) >= CONTRACTED:
+                yield stars(pairs)
+                pairs = []
+        yield stars(pairs)
+
+    return edges.select("a", "b").where("a != b").mapInArrow(run, "v bigint, u bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of a graph given as a, b: alternating large and small stars.
 
-    Rounds grow with the logarithm of the longest path; each is aggregated by node before anything is joined.
+    Edges are contracted where they lie before the first round. Rounds grow with the logarithm of the longest path that is
+    left; each is aggregated by node before anything is joined.
     """
-    now = stored(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u > v").distinct(), "stars")
+    now = stored(_contracted(edges).distinct(), "stars")
     said = None
     while True:
         both = now.union(now.select(F.col("u"), F.col("v")).toDF("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = large.where("u != v")  # repeated ones fall to the distinct below
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         small = small.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u != v").distinct()
