@@ -116,6 +116,15 @@ def test_quality_outliers(spark):
     assert not kept.pop(1000) and all(kept.values())
 
 
+def test_quality_outliers_of_small_groups(spark):
+    plain = lambda k: " ".join(f"word{(k * 7 + j) % 97}" for j in range(60))
+    odd = " ".join(f"w{j}***" for j in range(60))
+    rows = [(k, plain(k), "en", f"s{k % 6}") for k in range(60)] + [(k, plain(k), "de", "s0") for k in range(60, 63)] + [(1000, odd, "en", "s1"), (1001, odd, "de", "s0"), (1002, odd, None, None)]
+    found = {r["doc_id"]: r for r in quality_mcd.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert {k for k, r in found.items() if not r["kept"]} == {1000, 1001, 1002}
+    assert all(r["distance"] is not None for r in found.values())
+
+
 def test_shards(docs, texts):
     rows = sorted(sharding.shard(docs).collect(), key=lambda r: r["doc_id"])
     total, before = sum(r["size"] for r in rows), 0

@@ -9,7 +9,8 @@ per bin, summed up to the bin that completes the share. So a step shuffles group
 and a hot group is added up where it lies. A row whose distance to the final estimate exceeds CUT is rejected.
 
 Scatter has a floor (FLOOR, in units of the transformed statistics): where nearly all texts of a group agree, small
-differences are no outliers. Groups of fewer than LEAST rows give no estimate and reject nothing.
+differences are no outliers. A group of fewer than LEAST rows is judged by the estimate of its language, and where that
+has fewer too, by that of the whole table, whatever its size; so every row has a distance.
 
 Defined cases: null, empty and blank texts have no words and fail the base rules; null language or source is a group of
 its own; repeated rows count each; an empty table gives an empty result; other columns are ignored.
@@ -35,6 +36,8 @@ CUT = 60.0
 #: Groups up to which their estimates (15 numbers each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_GROUPS = 100_000
 P = 4
+#: Name of the group of all rows; the others' names are digests.
+WHOLE = ""
 
 
 def _even_chi2(x: float, degrees: int) -> float:
@@ -127,8 +130,8 @@ def _measured(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     return rows.join(F.broadcast(estimates) if few else estimates, "group", "left").withColumn("d2", _distance())
 
 
-def outlier_distances(rows: DataFrame) -> DataFrame:
-    """rows (group, x0 to x3, ...) with d2, the squared robust distance; null where the group has no estimate."""
+def _estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """group, all (its rows), location m and Cholesky factor l of every group of rows (group, x0 to x3); whether they are few."""
     start = rows.groupBy("group").agg(*[(F.percentile_approx(f"x{i}", 0.5, 10000) / UNIT).alias(f"m{i}") for i in range(P)])
     zero = [(F.lit(SCALE[i] if i == j else 0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)]
     estimates = stored(start.select("*", *zero), "estimates")
@@ -151,14 +154,28 @@ def outlier_distances(rows: DataFrame) -> DataFrame:
         means = [(F.col(f"s{i}") / F.col("n") / UNIT).alias(f"m{i}") for i in range(P)]
         scatter = [(factor * (F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")) / F.col("n") / UNIT**2).alias(f"v{i}{j}") for i, j in pairs]
         estimates = stored(_with_factor(gathered.select("group", "all", *means, *scatter)), "estimates")
-    return _measured(rows, estimates.where(F.col("all") >= LEAST), few)
+    return estimates, few
+
+
+def outlier_distances(rows: DataFrame) -> DataFrame:
+    """rows (group, language, x0 to x3, ...) with d2, the squared robust distance to the narrowest estimate of enough rows."""
+    own, few = _estimates(rows)
+    small = own.where(F.col("all") < LEAST).select("group")
+    if small.isEmpty():
+        return _measured(rows, own, few)
+    levels = F.explode(F.array("language", F.lit(WHOLE))).alias("group")
+    wider = _estimates(rows.select(levels, *[f"x{i}" for i in range(P)]))[0].withColumnRenamed("group", "level")
+    large = wider.where(F.col("all") >= LEAST).select(F.col("level").alias("language"), "level")
+    placed = small.join(rows.select("group", "language").distinct(), "group").join(large, "language", "left")
+    lent = placed.select("group", F.coalesce("level", F.lit(WHOLE)).alias("level")).join(wider, "level")
+    return _measured(rows, stored(own.where(F.col("all") >= LEAST).unionByName(lent.select(own.columns)), "estimates"), few)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept."""
-    group = F.sha2(F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}), 256)
-    rows = stored(statistics(docs).withColumn("group", group).select("*", *_vector()), "statistics")
+    name = lambda *columns: F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    rows = stored(statistics(docs).withColumn("group", name("lang", "source")).withColumn("language", name("lang")).select("*", *_vector()), "statistics")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     judged = outlier_distances(rows).withColumn("base_failed", failed)
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CUT)
+    kept = ~F.col("base_failed") & (F.col("d2") <= CUT)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance"))
