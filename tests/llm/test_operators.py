@@ -45,6 +45,14 @@ def test_extraction():
     assert html_extract.main_text("<p>just text") == "just text"
 
 
+def test_extraction_by_density_around_articles():
+    first, second = "prose of the first part. " * 20, "prose of the second part. " * 20
+    links = "".join(f"<li><a href={k}>link number {k}</a></li>" for k in range(8))
+    parts = f"<body><article><h1>Title</h1><p>{first}</p><p>Short.</p><ul>{links}</ul></article><article><p>{second}</p></article><article><ul>{links}</ul></article></body>"
+    assert html_extract.main_text(parts) == f"Title {first.strip()} Short. {second.strip()}"
+    assert html_extract.main_text(f"<body><article><h1><a href=1>Title</a></h1><p>{first}</p><p>See <a href=2>this</a>.</p><div class=x><a href=3>Buy it now</a></div></article></body>") == f"Title {first.strip()} See this."
+
+
 def test_extraction_of_pages(spark, sf_dir):
     import html
 

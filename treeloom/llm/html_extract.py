@@ -3,8 +3,11 @@
 Every DOM node gets a density: its characters per tag, damped by the share of those characters that sit in links and by
 the share of link text in the whole body. A node's density sum is the sum over its children. The node with the largest
 sum is the core of the article; the smallest density on its path up to the body is the threshold, and every subtree that
-reaches it contributes its own maximum-sum node. Markup that can only be page furniture (menus, forms, scripts, adverts,
-notices, reader comments) is pruned before the densities are computed.
+reaches it contributes its own maximum-sum node. An <article> or <main> is a prior, not a rule: one that holds a chosen
+node comes whole, as its title and short paragraphs stay under the threshold; one without stays out. From what is chosen,
+blocks under the threshold that are mostly links are taken away, unless all of it is mostly links. A short advert without
+links can't be told from a short paragraph by density, and stays. Markup that can only be page furniture (menus, forms,
+scripts, adverts, notices, reader comments) is pruned before the densities are computed.
 
 Defined cases: null or empty html gives an empty text; html without a body counts as all body; unclosed and stray tags
 are tolerated; a page whose text lies only in furniture gives an empty text; repeated rows are computed alike; an empty
@@ -28,6 +31,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 FURNITURE_TAGS = frozenset("head nav footer aside form button select option input menu dialog svg canvas object audio video figure-controls script style noscript template iframe textarea title".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements that are part of a text even where they are a link: not taken away by themselves.
+ITEMS = frozenset("h1 h2 h3 h4 h5 h6 header li dt dd tr td th caption figcaption".split())
 LIST_SCOPES = frozenset("ul ol dl table menu article section div body".split())
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay"
@@ -185,16 +190,23 @@ def main_text(page: str | None) -> str:
     while path[-1]:
         path.append(parent[path[-1]])
     threshold = min(density[k] for k in path)
-    article = next((k for k in reversed(path) if tag[k] in ("article", "main")), None)
-    chosen = [False] * n
-    if article is not None:
-        chosen[article] = True
-    else:
-        for k in range(n):
-            if not tree.dropped[k] and density[k] >= threshold and chars[k]:
-                chosen[best[k]] = True
+    article = [-1] * n  # the outermost article or main that a node lies in
     for k in range(1, n):
-        chosen[k] = chosen[k] or chosen[parent[k]]
+        article[k] = article[parent[k]] if article[parent[k]] >= 0 else k if tag[k] in ("article", "main") else -1
+    chosen, titled = [False] * n, [x == "h1" for x in tag]
+    for k in range(n):
+        if not tree.dropped[k] and density[k] >= threshold and chars[k]:
+            chosen[article[best[k]] if article[best[k]] >= 0 else best[k]] = True
+    for k in range(n - 1, 0, -1):
+        titled[parent[k]] = titled[parent[k]] or titled[k]
+    linked = [2 * link_chars[k] > chars[k] for k in range(n)]
+    textual = [chosen[k] and not linked[k] for k in range(n)]  # lies in a chosen node that is not mostly links
+    for k in range(1, n):
+        p = parent[k]
+        if textual[p] and linked[k] and density[k] < threshold and not (tag[k] in INLINE or tag[k] in ITEMS or titled[k]):
+            chosen[k] = False
+        elif chosen[p]:
+            chosen[k], textual[k] = True, textual[k] or textual[p]
     blocks: dict[int, list[str]] = {}
     for k, b, s in runs:
         if chosen[k]:
