@@ -53,6 +53,18 @@ def test_extraction_by_density_around_articles():
     assert html_extract.main_text(f"<body><article><h1><a href=1>Title</a></h1><p>{first}</p><p>See <a href=2>this</a>.</p><div class=x><a href=3>Buy it now</a></div></article></body>") == f"Title {first.strip()} See this."
 
 
+def test_extraction_under_names_of_furniture():
+    prose, note = "prose of the page. " * 20, "<p>some words of readers</p>"
+    body = f"<h1>Title</h1><p>{prose}</p>"
+    for opened in ("div class='layout has-sidebar'", "div id=page-no-sidebar", "div class='search'", "div id=form"):
+        tag = opened.split()[0]
+        assert html_extract.main_text(f"<body><div class=cookie-notice>We use cookies.</div><{opened}><article>{body}</article><div id=comments>{note}</div></{tag}></body>") == f"Title {prose.strip()}"
+        assert html_extract.main_text(f"<body><{opened}><p>{prose}</p></{tag}><div class='ad'>Buy it now</div></body>") == prose.strip()
+    assert html_extract.main_text(f"<body><article class='post comments-open'>{body}</article><div class=comments><article>{note}</article></div></body>") == f"Title {prose.strip()}"
+    assert html_extract.main_text(f"<body><article>{body}</article><div class='comments'>{note * 40}</div></body>") == f"Title {prose.strip()}"
+    assert html_extract.main_text(f"<body><div id=form><div class=search><article>{body}</article></div><div class=comments><article>{note}</article></div></div></body>").startswith(f"Title {prose.strip()}")
+
+
 def test_extraction_of_pages(spark, sf_dir):
     import html
 

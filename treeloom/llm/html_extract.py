@@ -7,7 +7,9 @@ reaches it contributes its own maximum-sum node. An <article> or <main> is a pri
 node comes whole, as its title and short paragraphs stay under the threshold; one without stays out. From what is chosen,
 blocks under the threshold that are mostly links are taken away, unless all of it is mostly links. A short advert without
 links can't be told from a short paragraph by density, and stays. Markup that can only be page furniture (menus, forms,
-scripts, adverts, notices, reader comments) is pruned before the densities are computed.
+scripts, adverts, notices, reader comments) is pruned before the densities are computed. An element that only its class or
+id names as furniture isn't pruned if it holds all of the page's article, main and h1 elements, or more than half of the
+text outside links while no article or main lies elsewhere: there the densities decide.
 
 Defined cases: null or empty html gives an empty text; html without a body counts as all body; unclosed and stray tags
 are tolerated; a page whose text lies only in furniture gives an empty text; repeated rows are computed alike; an empty
@@ -43,12 +45,12 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-NAME_PART = re.compile(r"[a-z]+|[0-9]+")
+NAME_PART = re.compile(r"[a-z]+")
 BLANK = re.compile(r"\s+")
 
 
 def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element can only be page furniture: by element, role, visibility, or a word of its class or id."""
+    """Whether an element can only be page furniture: by element, role or visibility."""
     if tag in FURNITURE_TAGS or (tag == "header" and not in_article):
         return True
     if not attributes or tag in ("html", "body", "main"):
@@ -59,8 +61,19 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value in FURNITURE_ROLES:
             return True
-        if name in ("class", "id") and any(w in FURNITURE_WORDS for w in NAME_PART.findall(value)):
-            return True
+    return False
+
+
+def is_named_furniture(tag: str, attributes: str) -> bool:
+    """Whether a name in class or id consists of furniture words only, as ad-1 and cookie-notice, but not has-sidebar, do."""
+    if not attributes or tag in ("html", "body", "main"):
+        return False
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for token in (a or b or c).lower().split():
+                words = NAME_PART.findall(token)
+                if words and all(w in FURNITURE_WORDS for w in words):
+                    return True
     return False
 
 
@@ -70,6 +83,7 @@ class _Tree:
     def __init__(self) -> None:
         self.tag, self.parent, self.dropped = ["body"], [-1], [False]
         self.in_article, self.in_link = [False], [False]
+        self.named: list[int] = []  # what only a class or id names as furniture
         self.runs: list[tuple[int, int, str]] = []  # node, block, raw text
         self.block = 0
 
@@ -80,8 +94,38 @@ class _Tree:
         self.dropped.append(self.dropped[parent] or is_furniture(tag, attributes, article))
         self.in_article.append(article)
         self.in_link.append(self.in_link[parent] or tag == "a")
+        if not self.dropped[-1] and is_named_furniture(tag, attributes):
+            self.named.append(len(self.tag) - 1)
         return len(self.tag) - 1
 
+    def prune_named(self) -> None:
+        """Drops what is named as furniture, but for what holds the article."""
+        if not self.named:
+            return
+        n, names = len(self.tag), set(self.named)
+        inner = [-1] * n  # the innermost named element that a node lies in
+        for k in range(1, n):
+            inner[k] = k if k in names else inner[self.parent[k]]
+        plain, marks = [0] * n, [0] * n  # in a subtree: text outside links; articles, mains and h1 with such text
+        for k, _, s in self.runs:
+            if not self.in_link[k]:
+                plain[k] += len(s) - s.count(" ")
+        own = {k: [0, 0] for k in (-1, *self.named)}  # articles and mains, h1, by the innermost named element
+        for k in range(n - 1, 0, -1):
+            if self.tag[k] in ("article", "main", "h1") and plain[k]:
+                marks[k] += 1
+                own[inner[k]][self.tag[k] == "h1"] += 1
+            plain[self.parent[k]] += plain[k]
+            marks[self.parent[k]] += marks[k]
+        outside = {-1: (0, 0)}  # the same outside a named element, but for what lies in others that don't hold it
+        for k in self.named:
+            up = inner[self.parent[k]]
+            articles, titles = outside[k] = outside[up][0] + own[up][0], outside[up][1] + own[up][1]
+            self.dropped[k] = not (marks[k] and not articles and not titles or 2 * plain[k] > plain[0] and not articles)
+        for k in range(1, n):
+            self.dropped[k] = self.dropped[k] or self.dropped[self.parent[k]]
+        self.runs = [x for x in self.runs if not self.dropped[x[0]]]
+
 
 def _parse(page: str) -> _Tree:
     tree, stack, at, end = _Tree(), [0], 0, len(page)
@@ -140,6 +184,7 @@ def _parse(page: str) -> _Tree:
             at = close.end() if close else end
             continue
         stack.append(node)
+    tree.prune_named()
     return tree
 
 
