@@ -23,6 +23,11 @@ def test_other_queries_run(spark, sf_dir, name):
     assert queries.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_tensors_have_production_lengths(spark, sf_dir):
+    assert {len(r["values"]) for r in queries.QUERIES["flat_tensor"](spark, sf_dir).collect()} == {2000}
+    assert {(len(r["values"]), len(w)) for r in queries.QUERIES["nested_tensor"](spark, sf_dir).collect() for w in r["values"]} == {(300, 20)}
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -23,7 +23,7 @@ NODES = f"{_EVENTS}, t as (select {_COLUMNS}, {_RANDOM_PARENT} as parent from e)
 BINARY = f"{_EVENTS}, t as (select {_COLUMNS}, case when n = 1 then cast(-1 as bigint) else cast(floor(n / 2) as bigint) end as parent from e)"
 FOREST = f"{_EVENTS}, t as (select {_COLUMNS}, case when n % 25 = 1 then cast(-1 as bigint) else {_RANDOM_PARENT} end as parent from e)"
 BROKEN = f"{_EVENTS}, t as (select {_COLUMNS}, case when tree_id % 7 = 1 and n = 5 then cast(100000 as bigint) when tree_id % 7 = 2 and n = 1 then cast(2 as bigint) else {_RANDOM_PARENT} end as parent from e)"
-LIMIT, PAD, WORD = 300.0, 8, 5
+LIMIT = 300.0
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -310,12 +310,12 @@ def _inputs(spark, sf_dir) -> DataFrame:
 
 @query()
 def flat_tensor(spark, sf_dir):
-    return tensors.flat_tensor(_inputs(spark, sf_dir), 50, ("region", "coord", "topology"))
+    return tensors.flat_tensor(_inputs(spark, sf_dir), features=("region", "coord", "topology"))
 
 
 @query()
 def nested_tensor(spark, sf_dir):
-    return tensors.nested_tensor(_inputs(spark, sf_dir), WORD, PAD, ("region", "topology"))
+    return tensors.nested_tensor(_inputs(spark, sf_dir), features=("region", "topology"))
 
 
 @query()
