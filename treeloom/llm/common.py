@@ -17,18 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one under the warehouse where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, on one machine, one under the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, and outlives any executor."""
+def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, and outlives any executor.
+
+    small: for tables far smaller than the texts, a sixteenth of the usual partitions is written, but one for each core at
+    least. On a local file system a written file also costs two processes, for its mode bits and its checksum's.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if small:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,6 +56,32 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, join) -> Column:
+    """The running fold of an array of whole numbers from 0 on: element k is join over the elements up to k.
+
+    join is associative and leaves a number as it is when the other one is 0. A fold that appends copies its result at every
+    step, so long arrays are folded in about sqrt(n) blocks of as many elements each: n * sqrt(n) steps in all.
+    """
+    zero = F.lit(0).cast("bigint")
+    none = F.array().cast("array<bigint>")
+
+    def inner(block: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            now = join(acc["last"], x)
+            return F.struct(now.alias("last"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+        return F.aggregate(block, F.struct(zero.alias("last"), none.alias("out")), step)["out"]
+
+    def in_blocks(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: inner(F.slice(v, b * width + 1, width)))
+        before = lambda p: F.concat(F.array(zero), inner(F.transform(p, lambda x: F.element_at(x, -1))))
+        moved = lambda p: let(before(p), lambda o: F.transform(p, lambda x, i: F.transform(x, lambda y: join(F.get(o, i), y))))
+        return F.flatten(let(parts, moved))
+
+    return let(F.transform(values, lambda x: x.cast("bigint")), lambda v: F.when(F.size(v) <= 64, inner(v)).otherwise(in_blocks(v)))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; an empty array for null, empty and blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
