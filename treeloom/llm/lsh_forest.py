@@ -2,23 +2,26 @@
 
 1. Every document becomes its set of distinct word shingles (64-bit hashes) and a MinHash signature. Documents with equal
    sets form a class; only its smallest id goes on, so copies never meet pair by pair.
-2. The signature is read in several rotated orders ("trees"). In each tree the classes are range-sorted by that order;
-   a region is a run with the same first DEPTH values, and neighbours in it, which share the longest prefix, are
-   candidates. Where a region is dense, its order is decided deeper down: the depth adapts to the region. Range
-   partitions cut a hot region wherever needed, so none lands in one task.
-3. Candidates are screened by their signatures. The clusters that they span go through exact Jaccard similarity on the
-   full sets, all pairs across groups and not only the candidates: first inside blocks of BLOCK classes; then, where a
-   cluster is larger and still in several groups, what lies outside its largest group meets every other block. Only the
-   links that join groups are emitted.
+2. The signature is read in several rotated orders ("trees"). In each tree the classes are range-sorted by that order: a
+   region is a run with the same first DEPTH values, and inside it the next TAIL values decide. The rows next to each
+   other (NEAR on either side) share the longest prefixes and are candidates; where a region is dense, its order is decided
+   that much deeper, so the depth follows the density. Range partitions cut a hot region wherever needed, so none lands in
+   one task; the rows at a cut are paired afterwards.
+3. Candidates are screened by their signatures. Inside the clusters that they span, exact Jaccard similarity on full sets
+   decides, for all pairs across groups and not only for the candidates. In blocks of BLOCK classes all pairs are tried.
+   Groups of a larger cluster are then joined by confirming, round by round, the likeliest candidate of each two groups.
+   What is still apart goes through an exact prefix filter: two sets at the similarity asked for share one of the hashes
+   that are rarest in the cluster, at a place near the front of either set, so only sets that do are compared, and never
+   two of the cluster's largest group. Work therefore follows the number of true links, not the square of a cluster.
 
 A pair at similarity s shares no region with probability (1 - s**DEPTH)**TREES: 3.2e-6 at 0.8, and far less above it.
-The screen at 0.55 lies six standard deviations under 0.8. Sharing a region is not yet being neighbours: where rows unlike
-both sort between the two in every region they share, the screen cuts the chain, and a link can be lost if nothing else
-joins their clusters. That chance grows with dense regions of unlike texts, and has no proven bound.
+The screen at 0.55 lies six standard deviations under 0.8. Sharing a region is not yet being neighbours: where NEAR rows
+unlike both sort between the two, on each side and in every region they share, and nothing else joins their clusters, a
+link is lost. That takes texts that agree with them on more of the TAIL values than they do with each other.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a text shorter than a shingle is
-one shingle; rows that share a doc_id count as one node; a null doc_id stands alone (component null, kept); an empty
-table gives an empty result; other columns are ignored.
+one shingle; rows that share a doc_id are one node: what is linked with one of them is linked with all; a null doc_id
+stands alone (component null, kept); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,18 +31,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.llm.common import stored
 
-DEPTH, TREES, TAIL = 4, 24, 4
+DEPTH, TREES, TAIL, NEAR = 4, 24, 16, 3
 PERMUTATIONS = DEPTH * TREES
 SCREEN = 0.55
 #: Classes in a block, and hashes, at which a cluster is cut into more blocks.
-BLOCK, BLOCK_HASHES = 1000, 2_000_000
-#: Ids of classes with candidates are broadcast up to this number (8 bytes each), beyond it the texts are shuffled.
-BROADCAST_IDS = 4_000_000
+BLOCK, BLOCK_HASHES = 500, 400_000
+#: Ids of classes with candidates are broadcast up to this number (some 40 bytes each in memory); beyond it the texts are shuffled.
+BROADCAST_IDS = 1_000_000
 SALTS = 16
 #: Edges that a task of components() contracts at once.
 CONTRACTED = 200_000
@@ -82,11 +86,11 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The upper halves of the least values of random linear maps."""
+    """16 bits of each of the least values of random linear maps."""
     least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 4096):
         np.minimum(least, (hashes[at : at + 4096, None] * _MULTIPLY + _ADD).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(">u4")
+    return (least >> np.uint64(20)).astype(">u2")
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -105,64 +109,72 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, sign binary")
 
 
-def _tree_rows(classes: DataFrame) -> DataFrame:
-    """A row per class and tree: region, the next values of that order, node."""
-    span, size = DEPTH * 4, PERMUTATIONS * 4
+def _tree_rows(signs: DataFrame) -> DataFrame:
+    """A row per class and tree: region (its first DEPTH values), a byte of each of the next TAIL values, node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, regions, tails = [], [], []
-            for node, sign in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                turned = sign + sign
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                if not batch.num_rows:
+                    continue
+                sign = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, PERMUTATIONS)
+                turned = np.concatenate([sign, sign], axis=1)
                 for t in range(TREES):
-                    at = t * span
-                    nodes.append(node)
-                    regions.append(xxhash.xxh3_64_intdigest(turned[at : at + span], seed=t) - 2**63)
-                    tails.append(turned[(at + span) % size : (at + span) % size + 4 * TAIL])
-            yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), pa.array(tails, pa.binary()), pa.array(nodes, pa.int64())], names=["region", "tail", "node"])
+                    first = turned[:, t * DEPTH : (t + 1) * DEPTH].astype(np.uint64)
+                    # the tree's number goes into the region, so that trees don't mix
+                    region = _mix((first[:, 0] << np.uint64(48) | first[:, 1] << np.uint64(32) | first[:, 2] << np.uint64(16) | first[:, 3]) + np.uint64(t)).view(np.int64)
+                    tail = np.ascontiguousarray(turned[:, (t + 1) * DEPTH : (t + 1) * DEPTH + TAIL].astype(np.uint8))
+                    yield pa.RecordBatch.from_arrays([pa.array(region), pa.array([x.tobytes() for x in tail], pa.binary()), batch.column(0)], names=["region", "tail", "node"])
 
-    return classes.select("node", "sign").mapInArrow(run, "region bigint, tail binary, node bigint")
+    return signs.select("node", "sign").mapInArrow(run, "region bigint, tail binary, node bigint")
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    """region, node, before: the rows that share their region, and each one's neighbour in the sorted order.
-
-    The first and the last row of a partition stay too, for their region may go on in the next one.
-    """
+    """a, b: rows of a region with at most NEAR - 1 others between them in its order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int, int | None] | None = None  # the last row, not yet known to have company
-        first = True
+        part, region, node, seen = TaskContext.get().partitionId(), np.empty(0, np.int64), np.empty(0, np.int64), 0
+
+        def rows_of(a: np.ndarray, b: np.ndarray, place: np.ndarray | None = None) -> pa.RecordBatch:
+            where = pa.nulls(len(a), pa.int32()) if place is None else pa.array(np.full(len(a), part, np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), where, pa.nulls(len(a), pa.int32()) if place is None else pa.array(place.astype(np.int32))], names=["a", "b", "part", "place"])
+
         for batch in batches:
-            out = []
-            for region, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held and held[0] == region:
-                    out.append(held)
-                    held = (region, node, held[1])
-                else:
-                    if held and (first or held[2] is not None):
-                        out.append(held)
-                    first = held is None
-                    held = (region, node, None)
-            yield _edges_batch(out)
-        if held:
-            yield _edges_batch([held])
-
-    def _edges_batch(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["region", "node", "before"])
+            if not batch.num_rows:
+                continue
+            held = len(region)
+            region = np.concatenate([region, batch.column(0).to_numpy()])
+            node = np.concatenate([node, batch.column(1).to_numpy()])
+            if seen < NEAR:  # the partition's first rows: their region may have begun in the one before
+                some = min(NEAR - seen, batch.num_rows)
+                yield rows_of(region[held : held + some], node[held : held + some], np.arange(seen + 1, seen + some + 1))
+            seen += batch.num_rows
+            for lag in range(1, min(NEAR, len(region) - 1) + 1):
+                at = np.flatnonzero((region[lag:] == region[:-lag]) & (np.arange(lag, len(region)) >= held)) + lag
+                if len(at):
+                    yield rows_of(np.minimum(node[at], node[at - lag]), np.maximum(node[at], node[at - lag]))
+            region, node = region[-NEAR:], node[-NEAR:]
+        yield rows_of(region, node, -np.arange(len(region), 0, -1))  # and the last ones, counted back from the end
 
     spread = rows.repartitionByRange("region", "tail", "node").sortWithinPartitions("region", "tail", "node")
-    return spread.select("region", "node").mapInArrow(run, "region bigint, node bigint, before bigint")
+    found = stored(spread.select("region", "node").mapInArrow(run, "a bigint, b bigint, part int, place int"), "neighbours", small=True)
+    near = found.where("part is null").select("a", "b")
+    # a few rows for each partition
+    ends = found.where("place < 0").select((F.col("part") + 1).alias("part"), F.col("a").alias("region"), F.col("b").alias("x"), F.col("place").alias("back"))
+    starts = found.where("place > 0").select("part", F.col("a").alias("region"), F.col("b").alias("y"), "place")
+    cut = ends.join(starts, ["part", "region"]).where(F.col("place") - F.col("back") <= NEAR + 1).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return near.union(cut).where("a != b").distinct()
 
 
 def _screened(edges: DataFrame, signs: DataFrame) -> DataFrame:
-    """a, b, likeness of the distinct edges whose signatures agree enough."""
+    """a, b, likeness of the edges whose signatures agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), ">u4").reshape(-1, PERMUTATIONS) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), ">u2").reshape(-1, PERMUTATIONS) for i in (2, 3))
             like = (x == y).mean(axis=1)
             keep = pa.array(like >= SCREEN)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like)], names=["a", "b", "likeness"]).filter(keep)
@@ -203,39 +215,36 @@ def _contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of a graph given as a, b: alternating large and small stars.
 
-    Edges are contracted where they lie before the first round. Rounds grow with the logarithm of the longest path that is
-    left; each is aggregated by node before anything is joined.
+    Edges are contracted where they lie before the first round; if CONTRACTED or fewer are left, one task ends the work.
+    Else rounds grow with the logarithm of the longest path; each aggregates by node before it joins, and the joins are
+    salted by the other end, so a hub's edges don't meet in one task.
     """
-    now = stored(_contracted(edges).distinct(), "stars")
+    now = stored(_contracted(edges).distinct(), "stars", small=True)
+    n = now.count()
+    if n <= CONTRACTED:
+        done = _contracted(now.select(F.col("v").alias("a"), F.col("u").alias("b")).coalesce(1))
+        return stored(done, "stars", small=True).select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+    def with_least(rows: DataFrame, low: DataFrame) -> DataFrame:
+        salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).drop("salt")
+
     said = None
     while True:
         both = now.union(now.select(F.col("u"), F.col("v")).toDF("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = with_least(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v")  # repeated ones fall to the distinct below
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        small = with_least(large, low).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         small = small.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u != v").distinct()
-        now = stored(small, "stars")
+        now = stored(small, "stars", small=True)
         told = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if told == said:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         said = told
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, hashes of the full sets of some classes: their texts are read again, so that no set is kept for all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(x, width).view(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
-
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary"))
-    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-    return texts.join(nodes, "node", "left_semi").mapInArrow(run, "node bigint, hashes array<bigint>")
-
-
 def _linker(percent: int):
     """links(node, group, hashes): pairs of a block whose full sets are alike, as many as it takes to join their groups.
 
@@ -246,6 +255,7 @@ def _linker(percent: int):
     def links(node: np.ndarray, group: np.ndarray, hashes: list[np.ndarray]) -> list[tuple[int, int]]:
         size = np.array([len(x) for x in hashes], np.int64)
         values, code = np.unique(np.concatenate(hashes), return_inverse=True)
+        code = code.astype(np.int32)
         start = np.r_[0, np.cumsum(size)]
         names, group = np.unique(group, return_inverse=True)
         members = {g: np.flatnonzero(group == g).tolist() for g in range(len(names))}
@@ -258,7 +268,7 @@ def _linker(percent: int):
             waiting.remove(i)
             own = code[start[i] : start[i + 1]]
             marked[own] = True
-            common = np.add.reduceat(marked[code].astype(np.int64), start[:-1])
+            common = np.add.reduceat(marked[code], start[:-1], dtype=np.int64)
             marked[own] = False
             for j in np.flatnonzero((common * 100 >= (size + size[i] - common) * percent) & (group != group[i])).tolist():
                 if group[j] != group[i]:
@@ -277,45 +287,117 @@ def _linker(percent: int):
     return run
 
 
-def _links(docs: DataFrame, edges: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """node, component by confirmed links, within the clusters that the candidate edges span."""
+def _bounded(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """node, hashes of the full sets of some classes: their texts are read again, so that no set is kept for all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                found = [shingle_set(x, width).view(np.int64) for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(_bounded(nodes), "node", "left_semi")
+    if repeated:
+        texts = texts.groupBy("node", F.xxhash64("text"), F.octet_length("text")).agg(F.first("text").alias("text")).select("node", "text")
+    return texts.mapInArrow(run, "node bigint, hashes array<bigint>").where(F.size("hashes") > 0)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose full sets are alike."""
+    common, x, y = F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return both.where(common * 100 >= (x + y - common) * percent).select("a", "b").distinct()
+
+
+def _joined_groups(seats: DataFrame, edges: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """seats (node, cluster, part) with parts joined by confirmed edges, the likeliest of each two parts first; those edges."""
+    tested = links = None
+    ends = edges.join(seats.select(F.col("node").alias("a")), "a", "left_semi")
+    while True:
+        side = lambda end: seats.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))  # noqa: E731, B023
+        cross = ends.join(side("a"), "a").join(side("b"), "b").where("part_a != part_b")
+        if tested is not None:
+            cross = cross.join(tested, ["a", "b"], "left_anti")
+        best = cross.groupBy(F.least("part_a", "part_b").alias("p"), F.greatest("part_a", "part_b").alias("q")).agg(F.max(F.struct("likeness", "a", "b")).alias("best"))
+        best = stored(best.select("p", "q", "best.a", "best.b"), "best", small=True)
+        found = stored(_confirmed(best.select("a", "b"), sets, percent), "links", small=True)
+        links = found if links is None else links.union(found)
+        tested = best.select("a", "b") if tested is None else tested.union(best.select("a", "b"))
+        if found.isEmpty():
+            return seats, links
+        merged = components(best.join(found, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b"))).select(F.col("node").alias("part"), "component")
+        seats = stored(seats.join(merged, "part", "left").select("node", "cluster", F.coalesce("component", "part").alias("part")), "seats", small=True)
+
+
+def _across(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """a, b: all links between parts of the same cluster, by an exact prefix filter; None if no cluster has two parts."""
+    sizes = seats.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    main = stored(main, "mains", small=True)
+    if main.isEmpty():
+        return None
+    rows = seats.join(main, "cluster").join(sets, "node").select("cluster", "node", "part", (F.col("part") == F.col("main")).alias("of_main"), F.size("hashes").alias("size"), F.xxhash64("hashes").alias("own"), "hashes")
+    each = rows.select("cluster", "node", "part", "of_main", "size", "own", F.explode("hashes").alias("hash"))
+    counted = each.groupBy("cluster", "hash").agg(F.count("*").alias("n"), (F.min("part") != F.max("part")).alias("mixed"))
+    ordered = F.sort_array(F.collect_list(F.struct("n", "hash", "mixed")))  # the rarest first; a document's own hashes
+    ranked = each.join(counted, ["cluster", "hash"]).groupBy("cluster", "node", "part", "of_main", "size", "own").agg(ordered.alias("o"))
+    # a set of size s meets one at least as large with a hash at place p only if the rest can hold 2 * percent / (100 + percent)
+    # of s, and one at most as large only if it can hold percent of s
+    rest = F.col("size") - F.col("place")
+    front = ranked.select("cluster", "node", "part", "of_main", "size", F.posexplode("o").alias("place", "x")).where(F.col("x.mixed") & (rest * 100 >= percent * F.col("size")))
+    front = stored(front.select("cluster", F.col("x.hash").alias("hash"), "node", "part", "of_main", "size", rest.alias("rest")), "fronts")
+    small = front.where((100 + percent) * F.col("rest") >= 2 * percent * F.col("size"))
+    named = lambda df, c: df.select("cluster", "hash", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "part", "size", "rest", "of_main")])
+    pairs = None
+    for left, right in ((small.where("not of_main"), front), (small.where("of_main"), front.where("not of_main"))):
+        both = named(left, "x").join(named(right, "y"), ["cluster", "hash"]).where("part_x != part_y and (size_x < size_y or size_x = size_y and (node_x < node_y or of_main_x != of_main_y))")
+        both = both.where((100 + percent) * F.least("rest_x", "rest_y") >= percent * (F.col("size_x") + F.col("size_y"))).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+        pairs = both if pairs is None else pairs.union(both)
+    return stored(_confirmed(pairs.distinct(), sets, percent), "links", small=True)
+
+
+def _links(docs: DataFrame, edges: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
+    """a, b: confirmed links that join what belongs together, within the clusters that the candidate edges span."""
     clusters = components(edges)
     roots = clusters.select("component", F.col("component").alias("cluster")).distinct().toDF("node", "cluster")
-    clusters = stored(roots.union(clusters.toDF("node", "cluster")), "clusters")
-    held = stored(_sets(docs, clusters.select("node"), width), "sets")
+    clusters = stored(roots.union(clusters.toDF("node", "cluster")), "clusters", small=True)
+    held = stored(_sets(docs, clusters.select("node"), width, repeated), "sets")
     sized = clusters.join(held.select("node", F.size("hashes").alias("size")), "node")
     blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_HASHES)).cast("int").alias("blocks"))
-    placed = clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = stored(placed, "placed")
+    blocks = stored(blocks.where("blocks > 1"), "blocks", small=True)
+    placed = clusters.join(_bounded(blocks), "cluster", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int"))
     inner = placed.join(held, "node").withColumn("part", F.col("node"))
-    found = stored(inner.groupBy("cluster", "block").applyInArrow(_linker(percent), "a bigint, b bigint"), "links")
-    parts = components(found)
-    if placed.where("blocks > 1").isEmpty():
-        return parts
-    rows = placed.where("blocks > 1").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    counts = rows.groupBy("cluster", "part").agg(F.count("*").alias("n"))
-    main = counts.groupBy("cluster").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    main = main.where("`all` > most").select("cluster", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("odd_blocks"))
-    rows = rows.join(main, "cluster").withColumn("odd", F.when(F.col("part") != F.col("main"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("odd_blocks")).cast("int")))
-    seat = F.transform(F.sequence(F.lit(0), F.col("odd_blocks") - 1), lambda o: F.struct(F.col("block").alias("i"), o.alias("j")))
-    visit = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("i"), F.col("odd").alias("j")))
-    pairs = rows.withColumn("at", F.explode(F.array_distinct(F.when(F.col("odd").isNull(), seat).otherwise(F.concat(seat, visit)))))
-    pairs = pairs.select("cluster", "at.i", "at.j", "node", "part").join(held, "node")
-    more = pairs.groupBy("cluster", "i", "j").applyInArrow(_linker(percent), "a bigint, b bigint")
-    return components(found.union(more))
+    found = stored(inner.groupBy("cluster", "block").applyInArrow(_linker(percent), "a bigint, b bigint"), "links", small=True)
+    if blocks.isEmpty():
+        return found
+    seats = placed.where("blocks is not null").join(components(found).select("node", F.col("component").alias("part")), "node", "left")
+    seats = stored(seats.select("node", "cluster", F.coalesce("part", "node").alias("part")), "seats", small=True)
+    seats, more = _joined_groups(seats, edges, held, percent)
+    last = _across(seats, held, percent)
+    return found.union(more) if last is None else found.union(more).union(last)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document. 100 * intersection >= percent * union links two."""
     every = stored(_signatures(docs.select(F.col("doc_id").cast("bigint"), "text"), width), "signatures")
     able = every.where("set_key is not null and doc_id is not null")
-    classes = stored(able.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
-    signs = able.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "sign")
-    signs = stored(signs, "signs")
-    near = _neighbours(_tree_rows(signs)).where("before is not null and before != node")
-    near = near.select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct()
-    edges = stored(_screened(near, signs), "edges")
-    parts = None if edges.isEmpty() else _links(docs, edges, width, percent)
+    classes = stored(able.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("sign").alias("sign")), "classes", small=True)
+    signs = classes.select("node", "sign")
+    edges = stored(_screened(_neighbours(_tree_rows(signs)), signs), "edges", small=True)
+    repeated = not able.groupBy("doc_id").count().where("count > 1").isEmpty()
+    links = None if edges.isEmpty() else _links(docs, edges, width, percent, repeated)
+    if repeated:  # an id joins the classes of all its rows
+        own = able.select("doc_id", "set_key").distinct().join(classes.select("set_key", "node"), "set_key")
+        tied = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").drop("z"), "doc_id").select("a", F.col("node").alias("b"))
+        links = tied if links is None else links.union(tied)
+
+    parts = components(links) if links is not None else None
 
     out = every.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     shared = classes.where("n > 1").select("set_key", F.col("node"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
