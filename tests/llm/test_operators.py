@@ -91,16 +91,35 @@ def test_secrets(spark, docs):
         want = brute_spans(r["text"] or "")
         assert rows[r["doc_id"]]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(rows[r["doc_id"]]["spans"].split(","))
+        for kind in ("assign", "access", "hex"):
+            assert rows[r["doc_id"]][f"n_{kind}"] == sum(x.startswith(kind) for x in want.split(","))
     assert "entropy:4:28" in rows[10_003]["spans"] and rows[10_004]["spans"] == ""
     masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(more).collect()}
     assert masked[10_000].startswith("é😀 [SECRET]") and masked[10_003] == "key [SECRET] end"
 
 
+def brute_entropy(token):
+    return max(-sum(c / 20 * np.log2(c / 20) for c in Counter(token[i : i + 20]).values()) for i in range(len(token) - 19))
+
+
 def test_entropy_window(spark):
-    token = "aaaaaaaaaaaaaaaaaaaaaaab1c2d3e4f5g6h7i8j9k0"
-    want = max(-sum(c / 20 * np.log2(c / 20) for c in Counter(token[i : i + 20]).values()) for i in range(len(token) - 19))
-    got = spark.createDataFrame([(token,)], "t string").select(secret_scan.highest_entropy(F.col("t")).alias("e")).first()["e"]
-    assert got == pytest.approx(want)
+    rng = np.random.default_rng(5)
+    tokens = ["aaaaaaaaaaaaaaaaaaaaaaab1c2d3e4f5g6h7i8j9k0", *("".join(rng.choice(list("abcXYZ019+/_=-zz"), n)) for n in (20, 21, 60, 400))]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan.highest_entropy(F.col("t")).alias("e")).collect()
+    assert all(r["e"] == pytest.approx(brute_entropy(r["t"])) for r in rows)
+
+
+def test_long_tokens_and_many_spans(spark):
+    rng = np.random.default_rng(6)
+    blob = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 1_000_000))
+    many = "password=abcdefgh1 é" * 9000
+    rows = spark.createDataFrame([(1, f"x {blob} y"), (2, many), (3, "/srv/sample/q9Zx8Wv7Ut6Sr5Pq4On3Ml2K sample-sample-sample-1234"), (4, "0123456789abcdef" * 3 + "-q9Zx8Wv7Ut6Sr5Pq4On3Ml2K")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in secret_scan.digest(rows).collect()}
+    assert got[1]["spans"] == "entropy:2:1000002"
+    assert got[2]["spans"] == brute_spans(many) and got[2]["n_assign"] == 9000
+    assert got[3]["spans"] == "entropy:0:36" and got[4]["spans"] == "hex:0:48,entropy:48:73"
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(rows).collect()}
+    assert masked[1] == "x [SECRET] y" and masked[2] == "[SECRET] é" * 9000 and masked[4] == "[SECRET][SECRET]"
 
 
 def test_sentencepiece(docs, texts):
@@ -113,11 +132,29 @@ def test_sentencepiece(docs, texts):
     for text in odd + list(texts.values()):
         assert own.encode(text) == library.encode(text)
         assert own.decode(own.encode(text)) == library.decode(library.encode(text))
+    rng = np.random.default_rng(8)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "theandingofwas", "aé漢字😀▁b1", "a"):
+        text = "".join(rng.choice(list(letters), 3000))
+        assert own.encode(text) == library.encode(text)
+        word = "▁" + "".join(rng.choice(list(letters.replace("▁", "")), 400))
+        assert own.merge_long(word) == own.merge([word])[0]
+    own.digests(["".join(rng.choice(list("abcdefghij"), 300_000))])  # within seconds
     row = spm_bpe.encode_documents(docs.limit(1), path).first()
     ids = library.encode(texts[row["doc_id"]])
     assert (row["n_tokens"], row["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
 
 
+def test_sentencepiece_forgets(texts, monkeypatch):
+    import public_tokenizers
+
+    path, some = public_tokenizers.path("piece_bpe_32k.model"), list(texts.values())[:80]
+    whole, small = (spm_bpe.Model(open(path, "rb").read()) for _ in range(2))
+    want = [whole.encode(x) for x in some]
+    monkeypatch.setattr(spm_bpe, "MEMORY_BYTES", 200_000)
+    assert [small.encode(x) for x in some] == want
+    assert len(small.words) + len(small.before) < len(whole.words)
+
+
 def test_quality_counts(docs, texts):
     for r in quality_mcd.judge(docs).collect():
         text = texts[r["doc_id"]]
@@ -180,21 +217,58 @@ def test_near_duplicates(docs, texts):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (sizes[r["doc_id"]], want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
 
 
-def test_large_clusters_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(lsh_forest, "BLOCK", 7)
-    rng = np.random.default_rng(3)
-    base = [f"w{k}" for k in range(60)]
+def grown(rng, kinds):
+    """Texts around shared ones: for each (base words, texts, most edits) near copies of a base."""
     texts = {}
-    for i in range(40):
-        words = list(base)
-        for at in rng.integers(0, 60, rng.integers(0, 4)):
-            words[at] = f"x{i}_{at}"
-        texts[i] = " ".join(words)
+    for k, (size, n, edits) in enumerate(kinds):
+        base = [f"w{k}_{j}" for j in range(size)]
+        for _ in range(n):
+            words = list(base)
+            for at in rng.integers(0, size, rng.integers(0, edits + 1)):
+                words[at] = f"x{len(texts)}_{at}"
+            texts[len(texts)] = " ".join(words)
+    return texts
+
+
+@pytest.mark.parametrize("contracted", [200_000, 0])
+def test_large_clusters(spark, monkeypatch, contracted):
+    monkeypatch.setattr(lsh_forest, "BLOCK", 5)
+    monkeypatch.setattr(lsh_forest, "CONTRACTED", contracted)
+    texts = grown(np.random.default_rng(3), [(60, 40, 3), (40, 20, 1), (50, 25, 6)])
     want, _ = brute_components(texts, 4, 80)
     got = lsh_forest.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), 4, 80)
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 
+def test_prefix_filter_finds_every_link(spark):
+    """All links between parts, whatever the candidates were."""
+    rng = np.random.default_rng(7)
+    texts = grown(rng, [(60, 30, 6), (45, 20, 4)])
+    plate = [f"plate{k}" for k in range(50)]  # one text in common, and an own rest of up to a third
+    for _ in range(30):
+        texts[len(texts)] = " ".join(plate + [f"own{len(texts)}_{j}" for j in range(rng.integers(2, 25))])
+    sets = {i: set(lsh_forest.shingle_set(t.encode(), 4).view(np.int64).tolist()) for i, t in texts.items()}
+    alike = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    seats = spark.createDataFrame([(i, 0, i % 40) for i in sets], "node bigint, cluster bigint, part bigint")
+    held = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node bigint, hashes array<bigint>")
+    found = {(r["a"], r["b"]) for r in lsh_forest._across(seats, held, 80).collect()}
+    assert found == {(a, b) for a, b in alike if a % 40 != b % 40}
+
+
+def test_neighbours_across_partitions(spark):
+    rows = [(k // 40, bytes([k % 40]), k) for k in range(200)]
+    got = {(r["a"], r["b"]) for r in lsh_forest._neighbours(spark.createDataFrame(rows, "region bigint, tail binary, node bigint")).collect()}
+    assert got == {(a, b) for a in range(200) for b in range(a + 1, min(a + lsh_forest.NEAR, 199) + 1) if a // 40 == b // 40}
+
+
+def test_repeated_ids_are_one_node(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    near = lambda rows: sorted({(r["doc_id"], r["component_id"]) for r in lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 80).collect()})
+    assert near([(1, a), (5, a), (5, b), (2, b)]) == [(1, 1), (2, 1), (5, 1)]
+    assert near([(7, a), (7, b), (8, b + " more"), (9, "else")]) == [(7, 7), (8, 7), (9, 9)]
+    assert near([(3, a)] * 5 + [(4, a)]) == [(3, 3), (4, 3)]
+
+
 def test_decontamination(spark, docs, texts, bench):
     items = {r["item_id"]: r["text"].lower().split() for r in bench.collect()}
     grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
@@ -210,6 +284,34 @@ def test_decontamination(spark, docs, texts, bench):
                 if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
                     want.add((i, k))
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.matches(docs, bench).collect()} == want
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("bigint"))
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.matches(nameless, bench).collect()} == {(None, k) for _, k in want}
+
+
+def test_hamming_blocks_find_all_within_radius(spark):
+    rng = np.random.default_rng(2)
+    pairs = []
+    for _ in range(300):
+        a = int(rng.integers(-(2**63), 2**63))
+        for n in (0, 3, decontamination.RADIUS - 1, decontamination.RADIUS, decontamination.RADIUS + 1, 40):
+            b = a
+            for bit in rng.choice(64, n, replace=False).tolist():
+                b ^= 1 << bit if bit < 63 else -(1 << 63)
+            pairs.append((len(pairs), a, b, n))
+    rows = spark.createDataFrame(pairs, "k bigint, a bigint, b bigint, n int")
+    left = rows.select("k", "a", "n", F.explode(decontamination.block_values(F.col("a"))).alias("x"))
+    right = rows.select(F.col("k").alias("j"), "b", F.explode(decontamination.index_values(F.col("b"))).alias("y"))
+    found = left.join(right, (F.col("k") == F.col("j")) & (F.col("x.no") == F.col("y.no")) & (F.col("x.value") == F.col("y.value"))).where(decontamination.found_first(F.col("a"), F.col("b"), F.col("x.no")))
+    assert sorted(r["k"] for r in found.collect()) == [k for k, _, _, n in pairs if n <= decontamination.RADIUS]
+
+
+def test_simhash_and_multisets(spark):
+    rng = np.random.default_rng(4)
+    rows = [[int(x) for x in rng.integers(-(2**63), 2**63, n)] for n in (1, 2, 30, 100)]
+    rows.append(rows[2] + rows[2][:9])
+    for r in spark.createDataFrame([(x,) for x in rows], "h array<bigint>").select("h", decontamination.simhash(F.col("h")).alias("s"), decontamination.as_multiset(F.col("h")).alias("m")).collect():
+        bits = sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in r["h"]) > len(r["h"]))
+        assert r["s"] & (2**64 - 1) == bits and len(set(r["m"])) == len(r["h"])
 
 
 def test_held_out_accuracy(spark, docs, sf_dir):
