@@ -1,15 +1,15 @@
 """Main text of web pages by composite text density.
 
-Every DOM node gets a density: its characters per tag, damped by the share of those characters that sit in links and by
-the share of link text in the whole body. A node's density sum is the sum over its children. The node with the largest
-sum is the core of the article; the smallest density on its path up to the body is the threshold, and every subtree that
-reaches it contributes its own maximum-sum node. An <article> or <main> is a prior, not a rule: one that holds a chosen
-node comes whole, as its title and short paragraphs stay under the threshold; one without stays out. From what is chosen,
-blocks under the threshold that are mostly links are taken away, unless all of it is mostly links. A short advert without
-links can't be told from a short paragraph by density, and stays. Markup that can only be page furniture (menus, forms,
-scripts, adverts, notices, reader comments) is pruned before the densities are computed. An element that only its class or
-id names as furniture isn't pruned if it holds all of the page's article, main and h1 elements, or more than half of the
-text outside links while no article or main lies elsewhere: there the densities decide.
+Every block of the DOM gets a density: its characters per tag, damped by the share of those characters that sit in links
+and by the share of link text in the whole body. Inline markup other than links is part of its block and no tag. A block's
+density sum is the sum over its children; its own text counts as a child without tags. The block with the largest sum is
+the core of the article; the smallest density on its path up to the body is the threshold, and every subtree that reaches
+it contributes its own maximum-sum block, whole. From what is chosen, blocks under the threshold that are mostly links are
+taken away, unless all of it is mostly links. A short advert without links can't be told from a short paragraph by
+density, and stays if it lies inside what is chosen. The names of article and main elements decide nothing here. Markup
+that can only be page furniture (menus, forms, scripts, adverts, notices, reader comments) is pruned before the densities
+are computed. An element that only its class or id names as furniture isn't pruned if no article or main lies elsewhere
+and it holds all of the page's article, main and h1 elements, or most of the text outside links: there the densities decide.
 
 Defined cases: null or empty html gives an empty text; html without a body counts as all body; unclosed and stray tags
 are tolerated; a page whose text lies only in furniture gives an empty text; repeated rows are computed alike; an empty
@@ -121,7 +121,8 @@ class _Tree:
         for k in self.named:
             up = inner[self.parent[k]]
             articles, titles = outside[k] = outside[up][0] + own[up][0], outside[up][1] + own[up][1]
-            self.dropped[k] = not (marks[k] and not articles and not titles or 2 * plain[k] > plain[0] and not articles)
+            bulk = 2 * plain[k] > plain[0] if not titles else 5 * plain[k] > 4 * plain[0]
+            self.dropped[k] = bool(articles) or not (bulk or marks[k] and not titles)
         for k in range(1, n):
             self.dropped[k] = self.dropped[k] or self.dropped[self.parent[k]]
         self.runs = [x for x in self.runs if not self.dropped[x[0]]]
@@ -198,53 +199,74 @@ def _link_adjusted(c: float, t: float, lc: float, lt: float, body_ratio: float)
     return c / t * math.log(value) / math.log(base) if base > 1.0 else c / t
 
 
+class _Densities:
+    """Characters, tags, links, density and density sum of every node. Inline markup but links is part of its block, no tag."""
+
+    def __init__(self, tree: _Tree, runs: list[tuple[int, int, str]]) -> None:
+        n, tag, parent = len(tree.tag), tree.tag, tree.parent
+        self.block = [0] * n  # the node itself, or the block that an inline node lies in
+        self.above = [-1] * n  # the block around it
+        for k in range(1, n):
+            self.above[k] = self.block[parent[k]]
+            self.block[k] = self.above[k] if tag[k] in INLINE else k
+        chars, tags, link_chars, link_tags, direct = ([0] * n for _ in range(5))
+        for k, _, s in runs:
+            size = len(s) - s.count(" ")
+            chars[k] += size
+            if tree.in_link[k]:
+                link_chars[k] += size
+            else:
+                direct[self.block[k]] += size
+        for k in range(n - 1, 0, -1):
+            if not tree.dropped[k]:
+                p = parent[k]
+                chars[p] += chars[k]
+                link_chars[p] += link_chars[k]
+                tags[p] += tags[k] + (tag[k] not in INLINE or tag[k] == "a")
+                link_tags[p] += link_tags[k] + (tag[k] == "a")
+        self.chars, self.link_chars = chars, link_chars
+        ratio = link_chars[0] / chars[0] if chars[0] else 0.0
+        self.density = [_link_adjusted(chars[k], tags[k], link_chars[k], link_tags[k], ratio) if not tree.dropped[k] else 0.0 for k in range(n)]
+        # a block's own text is a child like any other, without tags in it
+        self.total = [float(x) for x in direct]
+        for k in range(1, n):
+            if self.block[k] == k:
+                self.total[self.above[k]] += self.density[k]
+        self.best = list(range(n))  # of each subtree, the block with the largest sum; ties go to the one that comes first
+        for k in range(n - 1, 0, -1):
+            if self.block[k] == k:
+                p = self.above[k]
+                if (self.total[self.best[k]], -self.best[k]) > (self.total[self.best[p]], -self.best[p]):
+                    self.best[p] = self.best[k]
+
+    def threshold(self) -> float:
+        """The least density on the way from the core up to the body."""
+        k = self.best[0]
+        least = self.density[k]
+        while k:
+            k = self.above[k]
+            least = min(least, self.density[k])
+        return least
+
+
 def main_text(page: str | None) -> str:
     """The article of one page."""
     if not page:
         return ""
     tree = _parse(page)
     n, tag, parent = len(tree.tag), tree.tag, tree.parent
-    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     runs = [(k, b, _html.unescape(s)) for k, b, s in tree.runs]
-    for k, _, s in runs:
-        size = len(s) - s.count(" ")
-        chars[k] += size
-        if tree.in_link[k]:
-            link_chars[k] += size
-    for k in range(n - 1, 0, -1):
-        if not tree.dropped[k]:
-            p = parent[k]
-            chars[p] += chars[k]
-            link_chars[p] += link_chars[k]
-            tags[p] += tags[k] + 1
-            link_tags[p] += link_tags[k] + (tag[k] == "a")
-    if not chars[0]:
+    found = _Densities(tree, runs)
+    if not found.chars[0]:
         return ""
-    ratio = link_chars[0] / chars[0]
-    density = [_link_adjusted(chars[k], tags[k], link_chars[k], link_tags[k], ratio) if not tree.dropped[k] else 0.0 for k in range(n)]
-    total = [0.0] * n
-    for k in range(1, n):
-        total[parent[k]] += density[k]
-    best = list(range(n))  # of each subtree, the node with the largest sum; ties go to the one that comes first
-    for k in range(n - 1, 0, -1):
-        p = parent[k]
-        if (total[best[k]], -best[k]) > (total[best[p]], -best[p]):
-            best[p] = best[k]
-    core = best[0]
-    path = [core]
-    while path[-1]:
-        path.append(parent[path[-1]])
-    threshold = min(density[k] for k in path)
-    article = [-1] * n  # the outermost article or main that a node lies in
-    for k in range(1, n):
-        article[k] = article[parent[k]] if article[parent[k]] >= 0 else k if tag[k] in ("article", "main") else -1
+    density, threshold = found.density, found.threshold()
     chosen, titled = [False] * n, [x == "h1" for x in tag]
     for k in range(n):
-        if not tree.dropped[k] and density[k] >= threshold and chars[k]:
-            chosen[article[best[k]] if article[best[k]] >= 0 else best[k]] = True
+        if found.block[k] == k and not tree.dropped[k] and density[k] >= threshold and found.chars[k]:
+            chosen[found.best[k]] = True
     for k in range(n - 1, 0, -1):
         titled[parent[k]] = titled[parent[k]] or titled[k]
-    linked = [2 * link_chars[k] > chars[k] for k in range(n)]
+    linked = [2 * found.link_chars[k] > found.chars[k] for k in range(n)]
     textual = [chosen[k] and not linked[k] for k in range(n)]  # lies in a chosen node that is not mostly links
     for k in range(1, n):
         p = parent[k]
