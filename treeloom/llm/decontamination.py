@@ -29,10 +29,10 @@ from treeloom.llm.common import SPACE, let, running, stored, window_hashes
 from treeloom.llm.quality_mcd import WHITE
 
 SHINGLE = 5
-BLOCKS = ((16, 3), (16, 3), (16, 3), (16, 3))
+BLOCKS = ((13, 2), (13, 2), (13, 2), (13, 2), (12, 2))
 RADIUS = sum(reach + 1 for _, reach in BLOCKS) - 1
-#: Rows of lookups (shingles, index entries, window starts; 50 bytes each at most) up to which they are broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows of lookups (shingles, index entries, window starts; some 160 bytes each in memory) up to which they are broadcast.
+BROADCAST_ROWS = 300_000
 #: SimHash counts in lanes of 16 bits: hashes that they can hold.
 LANE = 65_535
 
@@ -109,7 +109,7 @@ def found_first(a: Column, b: Column, no: Column) -> Column:
 def prepared(items: DataFrame) -> DataFrame:
     """item_id, words, length, hashes, marks, fingerprint of the items that have words."""
     items = items.select("item_id", _split(F.col("text")).alias("words")).where("words is not null").select("item_id", "words", F.size("words").alias("length"), shingles(F.col("words")).alias("hashes"))
-    return stored(items.withColumn("fingerprint", simhash(F.col("hashes"))).withColumn("marks", as_multiset(F.col("hashes"))), "items")
+    return stored(items.withColumn("fingerprint", simhash(F.col("hashes"))).withColumn("marks", as_multiset(F.col("hashes"))), "items", "small")
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -131,7 +131,7 @@ def windows(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
         found = found.select("doc_id", "own", "length", (F.col("at") - F.col("item_at")).alias("line"), slack.alias("slack")).distinct()
         hits = found if hits is None else hits.union(found)
     starts = hits.select("doc_id", "own", "length", F.explode(F.sequence(F.col("line") - F.col("slack"), F.col("line") + F.col("slack"))).alias("start")).distinct()
-    starts = stored(starts.groupBy("doc_id", "own").agg(F.collect_list(F.struct("length", "start")).alias("starts"), F.count("*").alias("n")), "starts")
+    starts = stored(starts.groupBy("doc_id", "own").agg(F.collect_list(F.struct("length", "start")).alias("starts"), F.count("*").alias("n")), "starts", "small")
     starts = _bounded(starts, starts.agg(F.sum("n")).first()[0] or 0).withColumnRenamed("doc_id", "of")
     texts = docs.join(starts, docs["doc_id"].eqNullSafe(starts["of"]) & (docs["own"] == starts["own"])).select("doc_id", "text", "starts")
 
