@@ -27,17 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, and outlives any executor.
+def run_dir(spark: SparkSession) -> str:
+    """The folder of all tables that this application stores: it can be deleted as a whole once results have been read."""
+    return f"{shared_dir(spark)}/treeloom-{spark.sparkContext.applicationId}"
 
-    small: for tables far smaller than the texts, a sixteenth of the usual partitions is written, but one for each core at
-    least. On a local file system a written file also costs two processes, for its mode bits and its checksum's.
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all stored tables of this application; what still reads one of them fails afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def compact(df: DataFrame, size: str = "large") -> DataFrame:
+    """df in fewer partitions, for writing: small files cost more than they hold.
+
+    large: tables as long as the input, an eighth of the usual partitions, but four for each core at least. small: tables far
+    smaller than the texts, a sixteenth, but one for each core at least. few: some thousands of rows at most, one partition.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if small:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
-    df.write.option("compression", "zstd").parquet(path)
+    cores, usual = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce({"large": max(4 * cores, usual // 8), "small": max(cores, usual // 16), "few": 1}[size])
+
+
+def stored(df: DataFrame, name: str, size: str = "large") -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, and outlives any executor."""
+    spark = df.sparkSession
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    compact(df, size).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,7 +133,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     """a, b: rows of a region with at most NEAR - 1 others between them in its order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, region, node, seen = TaskContext.get().partitionId(), np.empty(0, np.int64), np.empty(0, np.int64), 0
+        part, region, node, seen = 0, np.empty(0, np.int64), np.empty(0, np.int64), 0
 
         def rows_of(a: np.ndarray, b: np.ndarray, place: np.ndarray | None = None) -> pa.RecordBatch:
             where = pa.nulls(len(a), pa.int32()) if place is None else pa.array(np.full(len(a), part, np.int32))
@@ -143,7 +142,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held = len(region)
+            held, part = len(region), batch.column(2)[0].as_py()
             region = np.concatenate([region, batch.column(0).to_numpy()])
             node = np.concatenate([node, batch.column(1).to_numpy()])
             if seen < NEAR:  # the partition's first rows: their region may have begun in the one before
@@ -158,7 +157,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
         yield rows_of(region, node, -np.arange(len(region), 0, -1))  # and the last ones, counted back from the end
 
     spread = rows.repartitionByRange("region", "tail", "node").sortWithinPartitions("region", "tail", "node")
-    found = stored(spread.select("region", "node").mapInArrow(run, "a bigint, b bigint, part int, place int"), "neighbours", small=True)
+    found = stored(spread.select("region", "node", F.spark_partition_id()).mapInArrow(run, "a bigint, b bigint, part int, place int"), "neighbours", "small")
     near = found.where("part is null").select("a", "b")
     # a few rows for each partition
     ends = found.where("place < 0").select((F.col("part") + 1).alias("part"), F.col("a").alias("region"), F.col("b").alias("x"), F.col("place").alias("back"))
@@ -219,11 +218,11 @@ def components(edges: DataFrame) -> DataFrame:
     Else rounds grow with the logarithm of the longest path; each aggregates by node before it joins, and the joins are
     salted by the other end, so a hub's edges don't meet in one task.
     """
-    now = stored(_contracted(edges).distinct(), "stars", small=True)
+    now = stored(_contracted(edges).distinct(), "stars", "small")
     n = now.count()
     if n <= CONTRACTED:
         done = _contracted(now.select(F.col("v").alias("a"), F.col("u").alias("b")).coalesce(1))
-        return stored(done, "stars", small=True).select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return stored(done, "stars", "small").select(F.col("u").alias("node"), F.col("v").alias("component"))
 
     def with_least(rows: DataFrame, low: DataFrame) -> DataFrame:
         salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -238,7 +237,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = with_least(large, low).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         small = small.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u != v").distinct()
-        now = stored(small, "stars", small=True)
+        now = stored(small, "stars", "small")
         told = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if told == said:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -325,21 +324,21 @@ def _joined_groups(seats: DataFrame, edges: DataFrame, sets: DataFrame, percent:
         if tested is not None:
             cross = cross.join(tested, ["a", "b"], "left_anti")
         best = cross.groupBy(F.least("part_a", "part_b").alias("p"), F.greatest("part_a", "part_b").alias("q")).agg(F.max(F.struct("likeness", "a", "b")).alias("best"))
-        best = stored(best.select("p", "q", "best.a", "best.b"), "best", small=True)
-        found = stored(_confirmed(best.select("a", "b"), sets, percent), "links", small=True)
+        best = stored(best.select("p", "q", "best.a", "best.b"), "best", "small")
+        found = stored(_confirmed(best.select("a", "b"), sets, percent), "links", "small")
         links = found if links is None else links.union(found)
         tested = best.select("a", "b") if tested is None else tested.union(best.select("a", "b"))
         if found.isEmpty():
             return seats, links
         merged = components(best.join(found, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b"))).select(F.col("node").alias("part"), "component")
-        seats = stored(seats.join(merged, "part", "left").select("node", "cluster", F.coalesce("component", "part").alias("part")), "seats", small=True)
+        seats = stored(seats.join(merged, "part", "left").select("node", "cluster", F.coalesce("component", "part").alias("part")), "seats", "small")
 
 
 def _across(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """a, b: all links between parts of the same cluster, by an exact prefix filter; None if no cluster has two parts."""
     sizes = seats.groupBy("cluster", "part").agg(F.count("*").alias("n"))
     main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    main = stored(main, "mains", small=True)
+    main = stored(main, "mains", "small")
     if main.isEmpty():
         return None
     rows = seats.join(main, "cluster").join(sets, "node").select("cluster", "node", "part", (F.col("part") == F.col("main")).alias("of_main"), F.size("hashes").alias("size"), F.xxhash64("hashes").alias("own"), "hashes")
@@ -359,25 +358,25 @@ def _across(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
         both = named(left, "x").join(named(right, "y"), ["cluster", "hash"]).where("part_x != part_y and (size_x < size_y or size_x = size_y and (node_x < node_y or of_main_x != of_main_y))")
         both = both.where((100 + percent) * F.least("rest_x", "rest_y") >= percent * (F.col("size_x") + F.col("size_y"))).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
         pairs = both if pairs is None else pairs.union(both)
-    return stored(_confirmed(pairs.distinct(), sets, percent), "links", small=True)
+    return stored(_confirmed(pairs.distinct(), sets, percent), "links", "small")
 
 
-def _links(docs: DataFrame, edges: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
+def _links(docs: DataFrame, edges: DataFrame, sizes: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
     """a, b: confirmed links that join what belongs together, within the clusters that the candidate edges span."""
     clusters = components(edges)
     roots = clusters.select("component", F.col("component").alias("cluster")).distinct().toDF("node", "cluster")
-    clusters = stored(roots.union(clusters.toDF("node", "cluster")), "clusters", small=True)
-    held = stored(_sets(docs, clusters.select("node"), width, repeated), "sets")
-    sized = clusters.join(held.select("node", F.size("hashes").alias("size")), "node")
+    clusters = stored(roots.union(clusters.toDF("node", "cluster")), "clusters", "small")
+    sized = clusters.join(sizes, "node")
     blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_HASHES)).cast("int").alias("blocks"))
-    blocks = stored(blocks.where("blocks > 1"), "blocks", small=True)
+    blocks = stored(blocks.where("blocks > 1"), "blocks", "small")
     placed = clusters.join(_bounded(blocks), "cluster", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int"))
-    inner = placed.join(held, "node").withColumn("part", F.col("node"))
-    found = stored(inner.groupBy("cluster", "block").applyInArrow(_linker(percent), "a bigint, b bigint"), "links", small=True)
+    inner = placed.join(_sets(docs, clusters.select("node"), width, repeated), "node").withColumn("part", F.col("node"))
+    found = stored(inner.groupBy("cluster", "block").applyInArrow(_linker(percent), "a bigint, b bigint"), "links", "small")
     if blocks.isEmpty():
         return found
     seats = placed.where("blocks is not null").join(components(found).select("node", F.col("component").alias("part")), "node", "left")
-    seats = stored(seats.select("node", "cluster", F.coalesce("part", "node").alias("part")), "seats", small=True)
+    seats = stored(seats.select("node", "cluster", F.coalesce("part", "node").alias("part")), "seats", "small")
+    held = stored(_sets(docs, seats.select("node"), width, repeated), "sets")
     seats, more = _joined_groups(seats, edges, held, percent)
     last = _across(seats, held, percent)
     return found.union(more) if last is None else found.union(more).union(last)
@@ -387,11 +386,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id, kept of every document. 100 * intersection >= percent * union links two."""
     every = stored(_signatures(docs.select(F.col("doc_id").cast("bigint"), "text"), width), "signatures")
     able = every.where("set_key is not null and doc_id is not null")
-    classes = stored(able.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("sign").alias("sign")), "classes", small=True)
+    classes = stored(able.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("sign").alias("sign")), "classes", "small")
     signs = classes.select("node", "sign")
-    edges = stored(_screened(_neighbours(_tree_rows(signs)), signs), "edges", small=True)
+    edges = stored(_screened(_neighbours(_tree_rows(signs)), signs), "edges", "small")
     repeated = not able.groupBy("doc_id").count().where("count > 1").isEmpty()
-    links = None if edges.isEmpty() else _links(docs, edges, width, percent, repeated)
+    links = None if edges.isEmpty() else _links(docs, edges, classes.select("node", "size"), width, percent, repeated)
     if repeated:  # an id joins the classes of all its rows
         own = able.select("doc_id", "set_key").distinct().join(classes.select("set_key", "node"), "set_key")
         tied = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").drop("z"), "doc_id").select("a", F.col("node").alias("b"))
