@@ -65,6 +65,33 @@ def test_extraction_under_names_of_furniture():
     assert html_extract.main_text(f"<body><div id=form><div class=search><article>{body}</article></div><div class=comments><article>{note}</article></div></div></body>").startswith(f"Title {prose.strip()}")
 
 
+def test_densities_by_hand():
+    page = "<body><div><h1>abcd</h1><p>ab <b>cd</b> ef<br>gh</p><p>abc <a href=1>def</a></p>xyz</div><ul><li><a href=2>abcdef</a></li></ul></body>"
+    tree = html_extract._parse(page)
+    found = html_extract._Densities(tree, tree.runs)
+    at = {}
+    for k, t in enumerate(tree.tag):
+        at.setdefault(t, []).append(k)
+    body, div, first = at["body"][0], at["div"][0], at["p"][0]
+    assert [found.chars[k] for k in (body, div, first)] == [27, 21, 8] and [found.link_chars[k] for k in (body, div, first)] == [9, 3, 0]
+    ratio = 9 / 27
+    tags = {body: 9, div: 5, first: 1, at["h1"][0]: 1, at["p"][1]: 1, at["ul"][0]: 2, at["li"][0]: 1}
+    links = {body: 2, div: 1, at["p"][1]: 1, at["ul"][0]: 1, at["li"][0]: 1}
+    for k, t in tags.items():
+        c, lc, lt = found.chars[k], found.link_chars[k], links.get(k, 0)
+        plain = max(c - lc, 1)
+        want = c / t * np.log(max(c / max(lc, 1) * t / max(lt, 1), 1)) / np.log(np.log(c / plain * lc + ratio * c + np.e))
+        assert found.density[k] == pytest.approx(want)
+    assert found.total[div] == pytest.approx(3 + sum(found.density[k] for k in (at["h1"][0], *at["p"])))
+    assert found.total[body] == pytest.approx(found.density[div] + found.density[at["ul"][0]])
+    assert found.best[0] == div and found.threshold() == pytest.approx(min(found.density[div], found.density[body]))
+
+
+def test_extraction_of_pages_without_article_elements(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        assert html_extract.main_text(re.sub("<(/?)article", r"<\1div", r["html"])) == html_extract.main_text(r["html"])
+
+
 def test_extraction_of_pages(spark, sf_dir):
     import html
 
@@ -182,6 +209,49 @@ def test_quality_outliers_of_small_groups(spark):
     assert all(r["distance"] is not None for r in found.values())
 
 
+def brute_mcd(x, share, floors, starts=60):
+    """Least determinant over random starts, each through steps on exact subsets, with the operator's floor."""
+    rng, best, h = np.random.default_rng(0), (np.inf,), int(np.ceil(share * len(x)))
+
+    def estimate(rows, part):
+        m, v = rows.mean(axis=0), quality_mcd._consistency(part) * np.cov(rows.T, bias=True)
+        low = np.zeros((4, 4))
+        for i in range(4):
+            for j in range(i + 1):
+                rest = v[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = np.sqrt(max(rest, floors[i] ** 2)) if i == j else rest / low[j, j]
+        return m, low, np.diag(low).prod() ** 2
+
+    distances = lambda m, low: (np.linalg.solve(low, (x - m).T) ** 2).sum(axis=0)
+    for _ in range(starts):
+        m, low, det = estimate(x[rng.choice(len(x), 8, replace=False)], share)
+        for _ in range(50):
+            m, low, new = estimate(x[np.argsort(distances(m, low), kind="stable")[:h]], share)
+            if new >= det * (1 - 1e-9):
+                break
+            det = new
+        best = min(best, (new, m.tolist(), low.tolist()))
+    m, low = np.array(best[1]), np.array(best[2])
+    d = distances(m, low)
+    m, low, _ = estimate(x[d <= quality_mcd._quantile(0.975)], 0.975)
+    return best[0], distances(m, low)
+
+
+def test_least_determinant_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    tilt = rng.normal(size=(4, 4))
+    clean = rng.normal(size=(400, 4)) @ tilt * 0.5
+    far = rng.normal(size=(60, 4)) * 0.1 + np.array([9.0, -8.0, 7.0, 9.0])  # one clump of outliers, which plain estimates follow
+    x = np.round(np.r_[clean, far] * quality_mcd.UNIT).astype(int)
+    rows = spark.createDataFrame([(k, "g", "l", *map(int, r)) for k, r in enumerate(x)], "k int, group string, language string, x0 bigint, x1 bigint, x2 bigint, x3 bigint")
+    det, distance = brute_mcd(x / quality_mcd.UNIT, quality_mcd.KEEP, quality_mcd.FLOOR)
+    found = quality_mcd.estimates(rows)[0].first()
+    assert found["all"] == len(x)
+    got = {r["k"]: r["d2"] for r in quality_mcd.outlier_distances(rows).collect()}
+    assert {k for k, d in got.items() if d > quality_mcd.CUT} == set(np.flatnonzero(distance > quality_mcd.CUT).tolist()) == set(range(400, 460))
+    assert np.allclose([got[k] for k in range(400)], distance[:400], rtol=0.1, atol=0.3)
+
+
 def test_shards(docs, texts):
     rows = sorted(sharding.shard(docs).collect(), key=lambda r: r["doc_id"])
     total, before = sum(r["size"] for r in rows), 0
