@@ -24,8 +24,19 @@ def test_other_queries_run(spark, sf_dir, name):
 
 
 def test_tensors_have_production_lengths(spark, sf_dir):
-    assert {len(r["values"]) for r in queries.QUERIES["flat_tensor"](spark, sf_dir).collect()} == {2000}
-    assert {(len(r["values"]), len(w)) for r in queries.QUERIES["nested_tensor"](spark, sf_dir).collect() for w in r["values"]} == {(300, 20)}
+    from treeloom.functions import tensors
+
+    assert {len(r["values"]) for r in queries._flat(spark, sf_dir).collect()} == {2000}
+    nested = tensors.nested_tensor(queries._inputs(spark, sf_dir), features=("region",)).collect()
+    assert {(len(r["values"]), len(w)) for r in nested for w in r["values"]} == {(300, 20)}
+
+
+def test_pruning_goes_on_for_several_rounds(spark, sf_dir):
+    """The table of the prune query needs more than two rounds, and fewer than its SQL has."""
+    from treeloom.plans import pipeline
+
+    left = [pipeline.accepted(pipeline.prune(queries.view(spark, sf_dir, queries.BINARY), queries.FAR, rounds=k)).count() for k in (1, 2, 3, queries.ROUNDS - 1)]
+    assert left[0] > left[1] > left[2] >= left[3] == queries.QUERIES["prune"](spark, sf_dir).count()
 
 
 def test_entry(spark):

@@ -29,6 +29,70 @@ def test_files(spark, files):
     assert all(r["first_parent_is_root"] for r in node_files.first_row_is_root(nodes).collect())
 
 
+def test_files_keep_their_order(spark, tmp_path):
+    for name in ("z.swc", "a.swc", "m.swc"):
+        (tmp_path / name).write_text("1 1 0 0 0 1 -1\n2 2 1 0 0 1 1\n")
+    nodes, _ = node_files.read_node_files(spark, [str(tmp_path / n) for n in ("z.swc", "a.swc", "m.swc")])
+    assert [r["tree_id"].rsplit("/", 1)[1] for r in nodes.select("tree_id", "file_ord").distinct().orderBy("file_ord").collect()] == ["z.swc", "a.swc", "m.swc"]
+
+
+def test_weights_and_vectors(spark, tmp_path):
+    w = {"enc/kernel": np.eye(2)}
+    keep = lookups.BestWeights(str(tmp_path / "best.npz"))
+    assert [keep(x, {"enc/kernel": np.eye(2) * x}) for x in (0.5, 0.4, 0.9)] == [True, False, True]
+    assert np.allclose(lookups.load_weights(str(tmp_path / "best.npz"))["enc/kernel"], np.eye(2) * 0.9)
+    lookups.REGISTRY["here"] = lambda: w
+    assert lookups.pretrained("here") is w
+    with pytest.raises(KeyError, match="nothing"):
+        lookups.pretrained("nothing")
+    (tmp_path / "v.txt").write_text("CTX 1 2\nunknow 0.5 -1\n")
+    assert {r["token"]: r["vec"] for r in lookups.token_vectors(spark, str(tmp_path / "v.txt")).collect()} == {"CTX": [1.0, 2.0], "unknown": [0.5, -1.0]}
+    (tmp_path / "names.csv").write_text("id,Abbreviation\n7,CTX\n")
+    names = lookups.region_names(spark, str(tmp_path / "names.csv"), "id")
+    ids = spark.createDataFrame([(1,), (2,)], "region_id bigint")
+    rollup = spark.createDataFrame([(1, 7)], "region_id bigint, selected_id bigint")
+    assert {r["region_id"]: r["abbreviation"] for r in atlas.id_to_abbreviation(ids, rollup, names).collect()} == {1: "CTX", 2: "unknown"}
+    node_files.write_nodes(rollup, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+
+
+def test_labels_and_evaluation(spark):
+    table = spark.createDataFrame([("t", [[1.0]]), ("u", [[2.0]]), ("v", [[3.0]])], "tree_id string, values array<array<float>>")
+    labels = spark.createDataFrame([("t", "b"), ("u", "a")], "tree_id string, label string")
+    inputs, rejects = tensors.labelled(table, labels)
+    assert {(r["tree_id"], r["label"], tuple(r["one_hot"])) for r in inputs.collect()} == {("t", "b", (0.0, 1.0)), ("u", "a", (1.0, 0.0))}
+    assert [tuple(r) for r in rejects.collect()] == [("v", "no_label")]
+    codes = spark.createDataFrame([(0,), (1,), (5,)], "code int")
+    assert {r["code"]: r["label"] for r in tensors.decode_labels(codes, labels).collect()} == {0: "a", 1: "b", 5: None}
+    scored = spark.createDataFrame([("t", [0.2, 0.8], "b"), ("u", [0.4, 0.6], "b")], "tree_id string, scores array<double>, label string")
+    row = models.evaluate(scored, labels, ("a", "b")).first()
+    assert (row["accuracy"], row["correct"], row["n"]) == (0.5, 1, 2) and row["loss"] == pytest.approx(-(np.log(0.8) + np.log(0.4)) / 2)
+    seq = spark.createDataFrame([("t", "T"), ("t", "G"), ("u", "G")], "tree_id string, node_type string")
+    assert [tuple(r) for r in tensors.without_terminal(seq).collect()] == [("u", "no_terminal")]
+
+
+def test_stages_can_be_replaced_and_counted(spark):
+    rows = [("a", 1, 1, 0.0, 0.0, 0.0, 1.0, -1)] + [("a", k, 2, float(20 * k), float(k % 2), 0.0, 1.0, k // 2) for k in range(2, 30)] + [("b", 1, 1, 0.0, 0.0, 0.0, 1.0, -1), ("b", 2, 2, 1.0, 0.0, 0.0, 1.0, 1), ("c", 1, 1, 0.0, None, 0.0, 1.0, -1)]
+    nodes = spark.createDataFrame(rows, "tree_id string, n bigint, type int, x double, y double, z double, r double, parent bigint")
+    whole = pipeline.TreeDataset(nodes)
+    assert {(r["stage"], r["accepted"], r["rejected"]) for r in whole.counts().collect()} == {("quality_control", 1, 2), ("sequence", 1, 2)}
+    assert {(r["tree_id"], r["reason"]) for r in pipeline.rejected(whole.cleaned()).collect()} == {("b", "unbranched"), ("c", "parse_error")}
+    apart = pipeline.TreeDataset(read=lambda: nodes, qc=pipeline.quality_control, sequencer=pipeline.sequences)
+    assert sorted(map(tuple, apart.sequence().collect())) == sorted(map(tuple, whole.sequence().collect()))
+
+
+def test_trees_over_many_batches(spark):
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(t, k, 2 if k > 1 else 1, float(k), float(t), 0.0, 1.0, k // 2 if k > 1 else -1) for t in range(5) for k in range(1, 20 + t)]
+        nodes = spark.createDataFrame(rows, "tree_id bigint, n bigint, type int, x double, y double, z double, r double, parent bigint")
+        found = pipeline.subtree_weights(nodes).where("n = 1").collect()
+        assert {r["tree_id"]: r["size"] for r in found} == {t: 19 + t for t in range(5)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_further_columns(spark, tmp_path):
     (tmp_path / "a.swc").write_text("1 1 0 0 0 1 -1 0.5\n2 2 1 0 0 1 1 0.25\n")
     nodes, _ = node_files.read_node_files(spark, str(tmp_path / "a.swc"), ("level",))

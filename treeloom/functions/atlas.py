@@ -22,7 +22,10 @@ def annotate(nodes: DataFrame, volume: DataFrame, rollup: DataFrame, names: Data
         nodes = nodes.withColumn(name, voxel(F.col(axis), step))
     inside = [F.col(name).between(0, n - 1) for name, n in zip(axes, size, strict=True)]
     nodes = nodes.withColumn("inside", inside[0] & inside[1] & inside[2])
-    known = volume.join(rollup, "region_id").join(names, "selected_id").select(*[F.col(a).cast("bigint").alias(a) for a in axes], "abbreviation")
+    # of a volume only the voxels that occur go on to the names
+    met = nodes.where("inside").select(*axes).distinct()
+    known = volume.select(*[F.col(a).cast("bigint").alias(a) for a in axes], "region_id").join(met, list(axes), "left_semi")
+    known = known.join(rollup, "region_id").join(names, "selected_id").select(*axes, "abbreviation")
     found = nodes.join(known, list(axes), "left")
     return found.withColumn("region", F.when(F.col("inside"), F.coalesce("abbreviation", F.lit(UNKNOWN))).otherwise(UNKNOWN)).drop(*axes, "inside", "abbreviation")
 

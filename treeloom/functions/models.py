@@ -112,10 +112,15 @@ def predict_classes(tensors: DataFrame, weights: dict[str, np.ndarray], classes:
     return scored.withColumn("label", F.get(F.array(*map(F.lit, classes)), (F.array_position("scores", F.array_max("scores")) - 1).cast("int")))
 
 
-def evaluate(predicted: DataFrame, labels: DataFrame) -> DataFrame:
-    """accuracy over trees with a label."""
+def evaluate(predicted: DataFrame, labels: DataFrame, classes: tuple[str, ...] = CLASSES) -> DataFrame:
+    """accuracy, loss (mean cross-entropy of the scores), correct and n over trees with a label.
+
+    A label that is no class counts as wrong, and as a score of 1e-7, the least that a loss is taken of.
+    """
     both = predicted.join(labels.select("tree_id", F.col("label").alias("true_label")), "tree_id")
-    return both.agg(F.avg((F.col("label") == F.col("true_label")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+    own = F.get("scores", (F.array_position(F.array(*map(F.lit, classes)), F.col("true_label")) - 1).cast("int"))
+    right = (F.col("label") == F.col("true_label")).cast("double")
+    return both.agg(F.avg(right).alias("accuracy"), F.avg(-F.log(F.greatest(F.coalesce(own, F.lit(0.0)), F.lit(1e-7)))).alias("loss"), F.sum(right).cast("bigint").alias("correct"), F.count("*").alias("n"))
 
 
 def split(rows: DataFrame, test_share: float = 0.2, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -62,7 +62,7 @@ def words(rows: DataFrame) -> DataFrame:
 
 
 def nested_tensor(rows: DataFrame, word_len: int = 20, sentence_len: int = 300, features: tuple[str, ...] = ("region",)) -> DataFrame:
-    """tree_id, values array<array<array<float>>>: sentence_len words of word_len steps. Trees without terminals drop out."""
+    """tree_id, values array<array<array<float>>>: sentence_len words of word_len steps. Trees in without_terminal() have none."""
     steps = F.sort_array(F.collect_list(F.struct("at", features_of(features).alias("f"))))
     made = words(rows).groupBy("tree_id", "word").agg(F.transform(steps, lambda x: x["f"]).alias("steps"))
     made = made.withColumn("zero", _zero_step(made)).withColumn("steps", padded(F.col("steps"), word_len, F.col("zero")))
@@ -70,6 +70,22 @@ def nested_tensor(rows: DataFrame, word_len: int = 20, sentence_len: int = 300,
     return trees.select("tree_id", padded(F.col("w"), sentence_len, F.array_repeat("zero", word_len)).alias("values"))
 
 
+def without_terminal(rows: DataFrame) -> DataFrame:
+    """tree_id, reason (no_terminal) of the trees that have no word."""
+    return rows.groupBy("tree_id").agg(F.max((F.col("node_type") == "T").cast("int")).alias("ends")).where("ends = 0").select("tree_id", F.lit("no_terminal").alias("reason"))
+
+
+def labelled(tensors: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tree_id, values, label, code, one_hot; tree_id, reason): model inputs, and the trees that have no label (no_label)."""
+    coded = encode_labels(labels)
+    return tensors.join(coded, "tree_id"), tensors.select("tree_id").join(labels.select("tree_id"), "tree_id", "left_anti").withColumn("reason", F.lit("no_label"))
+
+
+def decode_labels(codes: DataFrame, labels: DataFrame) -> DataFrame:
+    """codes (code, ...) with the label that encode_labels of labels gave that code; null for other codes."""
+    return codes.join(F.broadcast(encode_labels(labels).select("code", "label").distinct()), "code", "left")  # a row a class
+
+
 def encode_labels(labels: DataFrame) -> DataFrame:
     """tree_id, label, code (rank among the sorted labels), one_hot."""
     classes = labels.select("label").distinct()

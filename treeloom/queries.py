@@ -54,6 +54,62 @@ _TOPOLOGY = "l as (select t.*, case when coalesce(k.c, 0) = 0 then 'T' when k.c
 _CLOSURE = "a as (select tree_id, n as s, n as x, parent from t union all select a.tree_id, a.s, t.n, t.parent from a join t on a.tree_id = t.tree_id and a.parent = t.n)"
 
 
+#: w: each node with the ids on the way from its root.
+_PATHS = "w as (select tree_id, n, [n] as path from t where parent = -1 union all select t.tree_id, t.n, list_append(w.path, t.n) from w join t on w.tree_id = t.tree_id and t.parent = w.n)"
+
+
+def _named(nodes: str, name: str) -> str:
+    """One of the derived node tables under another name than t."""
+    return nodes.replace("), t as (select", f"), {name} as (select")
+
+
+def _bifurcated(src: str, dst: str) -> str:
+    """Tables up to dst: the binary tree of each tree in src. A node v with m > 2 children but the root's gets copies 1 to m - 1 above it.
+
+    Copies form a chain down to v; all children but the longest hang on the copy of their rank. Ids follow the preorder.
+    """
+    return (
+        f"b1 as (select tree_id, n, [n] as path from {src} where parent = -1 union all select c.tree_id, c.n, list_append(b1.path, c.n) from b1 join {src} c on c.tree_id = b1.tree_id and c.parent = b1.n),"
+        " b2 as materialized (select tree_id, n, row_number() over (partition by tree_id order by path) as id from b1),"
+        f" b3 as materialized (select s.tree_id, b2.id, coalesce(u.id, -1) as up, s.type, s.x, s.y, s.z from {src} s join b2 on b2.tree_id = s.tree_id and b2.n = s.n left join b2 u on u.tree_id = s.tree_id and u.n = s.parent),"
+        " b4 as materialized (select c.tree_id, c.id, sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) + (c.z - p.z) * (c.z - p.z)) as len from b3 c join b3 p on c.tree_id = p.tree_id and c.up = p.id),"
+        " b5 as (select tree_id, id as s, id as x, up from b3 union all select b5.tree_id, b5.s, b3.id, b3.up from b5 join b3 on b3.tree_id = b5.tree_id and b3.id = b5.up),"
+        " b6 as (select b5.tree_id, b5.x as id, sum(coalesce(b4.len, 0)) as weight from b5 left join b4 on b4.tree_id = b5.tree_id and b4.id = b5.s group by 1, 2),"
+        " b7 as materialized (select c.tree_id, c.id, c.up, row_number() over (partition by c.tree_id, c.up order by round(b6.weight, 6), c.id) as rk, count(*) over (partition by c.tree_id, c.up) as m, p.up != -1 as inner_up"
+        " from b3 c join b6 on b6.tree_id = c.tree_id and b6.id = c.id join b3 p on p.tree_id = c.tree_id and p.id = c.up),"
+        " b8 as (select distinct tree_id, up as id, m from b7 where m > 2 and inner_up),"
+        " b9 as (select tree_id, id, unnest(range(1, m)) as i, m from b8),"
+        " c1 as materialized (select b9.*, (select count(*) from b3 where b3.tree_id = b9.tree_id) + row_number() over (partition by b9.tree_id order by b9.id, i) as own from b9),"
+        # where what stands for a node hangs: its parent, or the copy of its rank
+        " c2 as materialized (select b3.tree_id, b3.id, coalesce(c1.own, b3.up) as hang from b3 left join b7 on b7.tree_id = b3.tree_id and b7.id = b3.id left join c1 on c1.tree_id = b3.tree_id and c1.id = b3.up and c1.i = b7.rk),"
+        " c3 as materialized (select b3.tree_id, b3.id, coalesce(l.own, c2.hang) as up, b3.type, b3.x, b3.y, b3.z from b3 join c2 on c2.tree_id = b3.tree_id and c2.id = b3.id left join c1 l on l.tree_id = b3.tree_id and l.id = b3.id and l.i = l.m - 1"
+        " union all select k.tree_id, k.own, coalesce(l.own, c2.hang), b3.type, b3.x, b3.y, b3.z from c1 k join c2 on c2.tree_id = k.tree_id and c2.id = k.id join b3 on b3.tree_id = k.tree_id and b3.id = k.id left join c1 l on l.tree_id = k.tree_id and l.id = k.id and l.i = k.i - 1),"
+        " c4 as (select tree_id, id, [id] as path from c3 where up = -1 union all select c3.tree_id, c3.id, list_append(c4.path, c3.id) from c4 join c3 on c3.tree_id = c4.tree_id and c3.up = c4.id),"
+        " c5 as materialized (select tree_id, id, row_number() over (partition by tree_id order by path) as n from c4),"
+        f" {dst} as materialized (select c3.tree_id, c5.n, coalesce(u.n, -1) as parent, c3.type, c3.x, c3.y, c3.z from c3 join c5 on c5.tree_id = c3.tree_id and c5.id = c3.id left join c5 u on u.tree_id = c3.tree_id and u.id = c3.up)"
+    )
+
+
+def _pruned(src: str, dst: str, limit: float, rounds: int) -> str:
+    """Tables up to dst: src after so many rounds of cutting short terminal chains; without trees that have no branch."""
+    out = (
+        f"p0 as materialized (select c.tree_id, c.n, sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) + (c.z - p.z) * (c.z - p.z)) as len from {src} c join {src} p on c.tree_id = p.tree_id and c.parent = p.n),"
+        f" q0 as materialized (select * from {src} where tree_id in (select tree_id from {src} where parent != -1 group by tree_id, parent having count(*) > 1))"
+    )
+    for k in range(rounds):
+        q = f"q{k}"
+        out += (
+            f", k{k} as materialized (select s.tree_id, s.n, s.parent, (select count(*) from {q} c where c.tree_id = s.tree_id and c.parent = s.n) as c from {q} s),"
+            f" h{k} as (select tree_id, n as tail, n, parent from k{k} where c != 1 union all select h{k}.tree_id, h{k}.tail, b.n, b.parent from h{k} join k{k} b on h{k}.tree_id = b.tree_id and h{k}.parent = b.n and b.c = 1),"
+            f" i{k} as materialized (select h{k}.tree_id, h{k}.tail, sum(coalesce(p0.len, 0)) as len, arg_min(h{k}.parent, h{k}.n) as parent_seg from h{k} left join p0 on p0.tree_id = h{k}.tree_id and p0.n = h{k}.n group by 1, 2),"
+            f" j{k} as (select v.*, exists (select 1 from i{k} c where c.tree_id = v.tree_id and c.parent_seg = v.tail) as has_child from i{k} v),"
+            f" z{k} as materialized (select *, bool_and(not has_child) over (partition by tree_id, parent_seg) as all_end, row_number() over (partition by tree_id, parent_seg order by len desc, tail) as rk from j{k}),"
+            f" q{k + 1} as materialized (select {q}.* from {q} where not exists (select 1 from h{k} join z{k} on z{k}.tree_id = h{k}.tree_id and z{k}.tail = h{k}.tail where h{k}.tree_id = {q}.tree_id and h{k}.n = {q}.n"
+            f" and z{k}.parent_seg != -1 and not z{k}.has_child and z{k}.len <= {limit} and not (z{k}.all_end and z{k}.rk = 1)))"
+        )
+    return out + f", {dst} as materialized (select * from q{rounds})"
+
+
 @query(f"with {NODES} select tree_id, n, type, x, y, z, r, parent from t")
 def node_table(spark, sf_dir):
     return view(spark, sf_dir)
@@ -116,7 +172,6 @@ def subtree_weights(spark, sf_dir):
     return rows.select("tree_id", "n", "size", F.round("below", 3).alias("below"), F.round("with_edge", 3).alias("with_edge"))
 
 
-_PATHS = "w as (select tree_id, n, [n] as path from t where parent = -1 union all select t.tree_id, t.n, list_append(w.path, t.n) from w join t on w.tree_id = t.tree_id and t.parent = w.n)"
 
 
 @query(f"with recursive {NODES}, {_PATHS}, o as (select tree_id, n, cast(row_number() over (partition by tree_id order by path) as bigint) as new_n from w)"
@@ -131,15 +186,9 @@ def first_root_component(spark, sf_dir):
     return pipeline.accepted(pipeline.first_root(view(spark, sf_dir, FOREST))).select("tree_id", "n", "parent")
 
 
-#: Number of nodes and of those with more than two children, and length: copies add k - 2 nodes of length 0 per node of k.
-@query(f"with {NODES}, {_EDGES}, {_KIDS}, s as (select tree_id, sum(len) as len from g group by 1),"
-       " q as (select t.tree_id, count(*) + sum(case when k.c > 2 and t.parent != -1 then k.c - 1 else 0 end) as n_nodes from t left join k on t.tree_id = k.tree_id and t.n = k.n group by 1)"
-       " select q.tree_id, cast(q.n_nodes as bigint) as n_nodes, cast(2 as bigint) as most_children, round(s.len, 3) as path_len from q join s on q.tree_id = s.tree_id")
+@query(f"with recursive {NODES}, {_bifurcated('t', 'd')} select tree_id, n, parent, x, z from d")
 def bifurcate(spark, sf_dir):
-    nodes = pipeline.accepted(pipeline.bifurcate(view(spark, sf_dir)))
-    inner = tree_ops.child_counts(nodes).join(nodes.where("parent != -1").select("tree_id", "n"), ["tree_id", "n"], "left_semi")
-    most = inner.groupBy("tree_id").agg(F.max("n_children").alias("most_children"))
-    return nodes.groupBy("tree_id").agg(F.count("*").alias("n_nodes")).join(most, "tree_id").join(tree_ops.path_length(nodes), "tree_id").withColumn("path_len", F.round("path_len", 3))
+    return pipeline.accepted(pipeline.bifurcate(view(spark, sf_dir))).select("tree_id", "n", "parent", "x", "z")
 
 
 #: h: each node with the segment it belongs to, by climbing from tails through only children.
@@ -151,10 +200,19 @@ _SEGMENTS = (
 )
 
 
-@query(f"with recursive {NODES}, {_SEGMENTS} select tree_id, tail, n_nodes, parent_seg, (select count(*) from v c where c.tree_id = v.tree_id and c.parent_seg = v.tail) as n_child_segs from v")
+@query(f"with recursive {NODES}, {_SEGMENTS}, {_CLOSURE}, le as (select a.tree_id, a.x as n, min(a.s) as least from a join b on b.tree_id = a.tree_id and b.n = a.s and b.c = 0 group by 1, 2)"
+       " select v.tree_id, v.tail, v.parent_seg, (select string_agg(cast(h.n as varchar), ',' order by h.n desc) from h where h.tree_id = v.tree_id and h.tail = v.tail) as nodes,"
+       " coalesce((select string_agg(cast(c.tail as varchar), ',' order by le.least) from v c join le on le.tree_id = c.tree_id and le.n = c.tail where c.tree_id = v.tree_id and c.parent_seg = v.tail), '') as child_segs from v")
 def segments(spark, sf_dir):
     rows = pipeline.accepted(pipeline.segments(view(spark, sf_dir)))
-    return rows.select("tree_id", "tail", F.size("nodes").cast("bigint").alias("n_nodes"), "parent_seg", F.size("child_seg").cast("bigint").alias("n_child_segs"))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return rows.select("tree_id", "tail", "parent_seg", joined("nodes").alias("nodes"), joined("child_seg").alias("child_segs"))
+
+
+@query(f"with recursive {NODES}, {_CLOSURE}, {_PATHS} select a.tree_id, a.x as n, string_agg(cast(a.s as varchar), ',' order by w.path) as nodes from a join w on w.tree_id = a.tree_id and w.n = a.s group by 1, 2")
+def subtree_nodes(spark, sf_dir):
+    rows = pipeline.accepted(pipeline.subtree_nodes(view(spark, sf_dir)))
+    return rows.select("tree_id", "n", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"))
 
 
 @query(f"with recursive {NODES}, {_EDGES}, {_SEGMENTS},"
@@ -167,12 +225,27 @@ def prune_round(spark, sf_dir):
     return pipeline.accepted(pipeline.prune(view(spark, sf_dir), LIMIT, rounds=1)).select("tree_id", "n")
 
 
-@query()
+#: A limit at which chains of the heap-shaped trees are cut in several rounds; ROUNDS more than any tree of them needs.
+FAR, ROUNDS = 2500.0, 8
+
+
+@query(f"with recursive {BINARY}, {_pruned('t', 'd', FAR, ROUNDS)} select tree_id, n, parent from d")
 def prune(spark, sf_dir):
-    return pipeline.accepted(pipeline.prune(view(spark, sf_dir), LIMIT)).select("tree_id", "n", "parent")
+    return pipeline.accepted(pipeline.prune(view(spark, sf_dir, BINARY), FAR)).select("tree_id", "n", "parent")
 
 
-@query()
+def _cleaned(nodes: str, dst: str, least: int = 10) -> str:
+    """Tables up to dst: quality control over a derived node table. t0: the raw nodes; d: binary trees; f: pruned ones."""
+    return (
+        f"{_named(nodes, 't0')}, t1 as (select tree_id, min(n) as n from t0 where parent = -1 group by 1),"
+        " t2 as (select tree_id, n from t1 union all select c.tree_id, c.n from t2 join t0 c on c.tree_id = t2.tree_id and c.parent = t2.n),"
+        f" t3 as materialized (select t0.* from t0 join t2 on t2.tree_id = t0.tree_id and t2.n = t0.n), {_bifurcated('t3', 'd')}, {_pruned('d', 'f', LIMIT, 4)},"
+        f" {dst} as materialized (select * from f where tree_id in (select tree_id from f group by 1 having count(*) >= {least}))"
+    )
+
+
+@query(f"with recursive {_cleaned(FOREST, 't')} select tree_id, n, type, x, y, z, parent, cast(null as varchar) as reason from t union all"
+       " select tree_id, null, null, null, null, null, null, case when tree_id in (select tree_id from f) then 'too_small' else 'unbranched' end from (select distinct tree_id from t0) where tree_id not in (select tree_id from t)")
 def qc_pipeline(spark, sf_dir):
     return pipeline.quality_control(view(spark, sf_dir, FOREST), LIMIT).select("tree_id", "n", "type", "x", "y", "z", "parent", "reason")
 
@@ -193,19 +266,22 @@ def components(spark, sf_dir):
 
 
 def _traversal(ordering: str, lesser_first: bool) -> str:
-    """SQL of a traversal: child codes 1 and 3 along the path, closed by 0, 2 or 4; components by length, then order."""
+    """Tables up to tr (tree_id, pos, n): a traversal of t by child codes 1 and 3 along the path, closed by 0, 2 or 4.
+
+    Components come by length, then class and order.
+    """
     own = {"pre": 0, "in": 2, "post": 4}[ordering]
     first, second = (1, 3) if lesser_first else (3, 1)
     way = "asc" if lesser_first else "desc"
     return (
-        f"with recursive {BINARY}, {_PARTS},"
+        f"{_PARTS},"
         " ca as (select o.tree_id, o.top, o.n as s, o.n as x from o union all select ca.tree_id, ca.top, ca.s, t.parent from ca join t on t.tree_id = ca.tree_id and t.n = ca.x where ca.x != ca.top),"
-        " d as (select ca.tree_id, ca.x as n, ca.top, sum(case when ca.s != ca.x then g.len else 0 end) as below from ca join g on g.tree_id = ca.tree_id and g.n = ca.s group by 1, 2, 3),"
-        " rk as (select d.*, t.parent, row_number() over (partition by d.tree_id, d.top, t.parent order by round(d.below, 6), d.n) as rk from d join t on t.tree_id = d.tree_id and t.n = d.n),"
+        " dw as (select ca.tree_id, ca.x as n, ca.top, sum(case when ca.s != ca.x then g.len else 0 end) as below from ca join g on g.tree_id = ca.tree_id and g.n = ca.s group by 1, 2, 3),"
+        " rk as (select dw.*, t.parent, row_number() over (partition by dw.tree_id, dw.top, t.parent order by round(dw.below, 6), dw.n) as rk from dw join t on t.tree_id = dw.tree_id and t.n = dw.n),"
         f" pw as (select tree_id, top, n, cast([] as integer[]) as path from rk where n = top union all select rk.tree_id, rk.top, rk.n, list_append(pw.path, case when rk.rk = 1 then {first} else {second} end) from pw join rk on rk.tree_id = pw.tree_id and rk.top = pw.top and rk.parent = pw.n where rk.n != rk.top),"
         " q as (select o.tree_id, o.cls, o.top, min(o.n) filter (where not exists (select 1 from m c where c.tree_id = o.tree_id and c.cls = o.cls and c.parent = o.n)) as least from o group by 1, 2, 3),"
-        " z as (select q.*, d.below from q join d on d.tree_id = q.tree_id and d.n = q.top)"
-        f" select pw.tree_id, row_number() over (partition by pw.tree_id order by round(z.below, 6) {way}, z.cls, z.least, list_append(pw.path, {own})) as pos, pw.n from pw join z on z.tree_id = pw.tree_id and z.top = pw.top"
+        " z as (select q.*, dw.below from q join dw on dw.tree_id = q.tree_id and dw.n = q.top),"
+        f" tr as (select pw.tree_id, row_number() over (partition by pw.tree_id order by round(z.below, 6) {way}, z.cls, z.least, list_append(pw.path, {own})) as pos, pw.n from pw join z on z.tree_id = pw.tree_id and z.top = pw.top)"
     )
 
 
@@ -217,7 +293,7 @@ def _register_traversals() -> None:
             def run(spark, sf_dir, ordering=ordering, lesser_first=lesser_first):
                 return pipeline.accepted(pipeline.sequences(view(spark, sf_dir, BINARY), ordering, lesser_first)).select("tree_id", "pos", "n")
 
-            QUERIES[name], ORACLE_SQL[name] = run, _traversal(ordering, lesser_first)
+            QUERIES[name], ORACLE_SQL[name] = run, f"with recursive {BINARY}, {_traversal(ordering, lesser_first)} select * from tr"
 
 
 _register_traversals()
@@ -297,7 +373,14 @@ def _sequence(spark, sf_dir, limit: float = LIMIT) -> DataFrame:
     return pipeline.TreeDataset(view(spark, sf_dir)).sequence(limit=limit)
 
 
-@query()
+#: sq: the sequences of the cleaned trees.
+_SEQUENCES = (
+    f"{_cleaned(NODES, 't')}, {_traversal('pre', True)}, {_KIDS}, {_TOPOLOGY},"
+    " sq as materialized (select tr.tree_id, tr.pos, tr.n, l.x, l.y, l.z, l.type, l.node_type from tr join l on l.tree_id = tr.tree_id and l.n = tr.n)"
+)
+
+
+@query(f"with recursive {_SEQUENCES} select * from sq")
 def sequence_table(spark, sf_dir):
     return _sequence(spark, sf_dir)
 
@@ -308,14 +391,42 @@ def _inputs(spark, sf_dir) -> DataFrame:
     return tensors.preprocess(rows, vectors)
 
 
-@query()
-def flat_tensor(spark, sf_dir):
+def _step_columns(values: str, width: int) -> list:
+    return [(F.round(F.get(values, k).cast("double"), 3) + 0.0).alias(f"v{k}") for k in range(width)]
+
+
+def _features(*columns: str) -> str:
+    return ", ".join(f"round(cast(cast({c} as float) as double), 3) + 0.0 as v{k}" for k, c in enumerate(columns))
+
+
+_REGION = [f"case when n % 5 = 4 then -1 else {value} end" for value in ("n % 5", "(n % 5) * (n % 5)")]
+_COORD = [f"({c} - avg({c}) over w) / case when stddev_pop({c}) over w = 0 then 1 else stddev_pop({c}) over w end" for c in "xyz"]
+_ONE_HOT = [f"case when node_type = '{t}' then 1 else 0 end" for t in tensors.NODE_TYPES]
+
+
+def _flat(spark, sf_dir) -> DataFrame:
     return tensors.flat_tensor(_inputs(spark, sf_dir), features=("region", "coord", "topology"))
 
 
-@query()
+@query(f"with recursive {_SEQUENCES} select tree_id, 2000 as steps, 2000 - m + pos - 1 as at, {', '.join(f'v{k}' for k in range(8))} from"
+       f" (select tree_id, pos, count(*) over w as m, {_features(*_REGION, *_COORD, *_ONE_HOT)} from sq window w as (partition by tree_id)) where pos > m - 2000")
+def flat_tensor(spark, sf_dir):
+    """The steps of the tensors that aren't padding; at counts from the front."""
+    steps = _flat(spark, sf_dir).select("tree_id", F.size("values").cast("bigint").alias("steps"), F.posexplode("values").alias("at", "v"))
+    steps = steps.where(F.exists("v", lambda x: x != 0))
+    return steps.select("tree_id", "steps", F.col("at").cast("bigint").alias("at"), *_step_columns("v", 8))
+
+
+@query(f"with recursive {_SEQUENCES}, wa as (select *, 1 + coalesce(sum(case when node_type = 'T' then 1 else 0 end) over (partition by tree_id order by pos rows between unbounded preceding and 1 preceding), 0) as word, sum(case when node_type = 'T' then 1 else 0 end) over (partition by tree_id) as words from sq),"
+       " wb as (select * from wa where word <= words union all select * replace (word + 1 as word) from wa where node_type = 'T' and word < words),"
+       " wc as (select *, row_number() over (partition by tree_id, word order by pos) as nth, count(*) over (partition by tree_id, word) as m from wb)"
+       f" select tree_id, cast(300 - words + word - 1 as bigint) as word_at, cast(20 - m + nth - 1 as bigint) as step_at, {_features(*_REGION, *_ONE_HOT)} from wc where word > words - 300 and nth > m - 20")
 def nested_tensor(spark, sf_dir):
-    return tensors.nested_tensor(_inputs(spark, sf_dir), features=("region", "topology"))
+    """The steps of the tensors that aren't padding; word_at and step_at count from the front."""
+    made = tensors.nested_tensor(_inputs(spark, sf_dir), features=("region", "topology"))
+    words = made.select("tree_id", F.posexplode("values").alias("word_at", "w")).where(F.exists("w", lambda s: F.exists(s, lambda x: x != 0)))
+    steps = words.select("tree_id", F.col("word_at").cast("bigint").alias("word_at"), F.posexplode("w").alias("step_at", "v")).where(F.exists("v", lambda x: x != 0))
+    return steps.select("tree_id", "word_at", F.col("step_at").cast("bigint").alias("step_at"), *_step_columns("v", 5))
 
 
 @query()
@@ -324,4 +435,29 @@ def recurrent_encoding(spark, sf_dir):
     from treeloom.functions import models
 
     weights = models.random_gru(8, 16, "enc1", 1) | models.random_gru(16, 8, "enc2", 2) | models.random_gru(8, 4, "enc3", 3)
-    return models.predict_latent(flat_tensor(spark, sf_dir), weights)
+    return models.predict_latent(_flat(spark, sf_dir), weights)
+
+
+def _texts(spark, sf_dir) -> DataFrame:
+    """Texts of tree files: blanks or commas, comments, CRLF; one file in 11 has a bad cell, one in 13 no rows."""
+    nodes = view(spark, sf_dir)
+    cells = [F.when((F.col("tree_id") % 11 == 3) & (F.col("n") == 2), F.lit("bad")).otherwise(F.col("x").cast("string")) if c == "x" else F.col(c).cast("string") for c in ("n", "type", "x", "y", "z", "r", "parent")]
+    line = F.when(F.col("tree_id") % 3 == 1, F.concat_ws(",", *cells)).otherwise(F.concat_ws(" ", *cells))
+    lines = nodes.withColumn("line", line).groupBy("tree_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("lines"))
+    lines = lines.withColumn("lines", F.when(F.col("tree_id") % 13 == 4, F.array().cast("array<string>")).otherwise(F.col("lines")))
+    end = F.when(F.col("tree_id") % 2 == 0, F.lit("\r\n")).otherwise(F.lit("\n"))
+    return lines.select("tree_id", F.concat(F.lit("# made of events"), end, F.array_join(F.transform("lines", lambda x: F.concat(F.lit(" "), x, end)), ""), F.lit("# end")).alias("value"))
+
+
+@query(f"with {NODES} select tree_id, n - 1 as row_ord, n, type, x, y, z, r, parent from t where tree_id % 11 != 3 and tree_id % 13 != 4")
+def tree_texts(spark, sf_dir):
+    from treeloom.sources import node_files
+
+    return node_files.parse_node_texts(_texts(spark, sf_dir))[0]
+
+
+@query(f"with {NODES} select distinct tree_id, case when tree_id % 13 = 4 then 'empty' else 'parse_error' end as reason from t where tree_id % 11 = 3 or tree_id % 13 = 4")
+def tree_text_rejects(spark, sf_dir):
+    from treeloom.sources import node_files
+
+    return node_files.parse_node_texts(_texts(spark, sf_dir))[1]

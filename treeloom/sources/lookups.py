@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import json
+import os
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +22,9 @@ def load_volume(path: str) -> np.ndarray:
 
 
 def rollup_table(spark: SparkSession, path: str) -> DataFrame:
-    """region_id, selected_id from a JSON object of ids."""
-    with open(path) as f:
-        pairs = [(int(k), int(v)) for k, v in json.load(f).items()]
-    return spark.createDataFrame(pairs, "region_id bigint, selected_id bigint")
+    """region_id, selected_id from a JSON object of ids, wherever Spark can read it."""
+    pairs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("region_id", "selected_id"))
+    return pairs.select(F.col("region_id").cast("bigint").alias("region_id"), "selected_id")
 
 
 def region_names(spark: SparkSession, path: str, id_column: str, name_column: str = "Abbreviation") -> DataFrame:
@@ -41,4 +41,41 @@ def standardised_vectors(vectors: DataFrame) -> DataFrame:
 
 def load_weights(path: str) -> dict[str, np.ndarray]:
     with np.load(path, allow_pickle=False) as f:
-        return {k: f[k] for k in f.files}
+        return {k.replace("__", "/"): f[k] for k in f.files}
+
+
+def save_weights(path: str, weights: dict[str, np.ndarray]) -> None:
+    np.savez(path, **{k.replace("/", "__"): v for k, v in weights.items()})
+
+
+def token_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """token, vec of a text table (token, then its numbers, by blanks); the token unknow counts as unknown."""
+    cells = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.get(cells, 0).alias("token"), F.slice(cells, 2, F.size(cells)).cast("array<double>").alias("vec"))
+    return rows.withColumn("token", F.when(F.col("token") == "unknow", "unknown").otherwise(F.col("token")))
+
+
+#: Weights by name: a file, or a function that gives them. None are supplied with the package.
+REGISTRY: dict[str, str | Callable[[], dict[str, np.ndarray]]] = {}
+
+
+def pretrained(name: str) -> dict[str, np.ndarray]:
+    """Registered weights; a KeyError names what is there."""
+    if name not in REGISTRY:
+        raise KeyError(f"no weights named {name}; registered: {sorted(REGISTRY)}")
+    found = REGISTRY[name]
+    return found() if callable(found) else load_weights(os.fspath(found))
+
+
+class BestWeights:
+    """Keeps the weights of the best epoch so far in a file: call it after each epoch with its score."""
+
+    def __init__(self, path: str, higher_is_better: bool = True) -> None:
+        self.path, self._sign, self.best = path, 1 if higher_is_better else -1, None
+
+    def __call__(self, score: float, weights: dict[str, np.ndarray]) -> bool:
+        if self.best is not None and self._sign * score <= self._sign * self.best:
+            return False
+        self.best = score
+        save_weights(self.path, weights)
+        return True
