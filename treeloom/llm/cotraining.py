@@ -1,16 +1,19 @@
 """Quality by co-training: one classifier sees the text, the other the page's metadata.
 
-View A counts what a text is made of (capitals, digits, symbols, repeated words, line and word lengths); view B sees the
-metadata (language, source, declared length), as hashed indicators. Both are logistic models. They start on the labelled
-sample; in each round, each labels the unlabelled documents that it is most sure of for the other one, at the class
-balance of the labels. At the end each view is calibrated (a scale and an offset on the labelled rows), and a document's
-log odds are the sum of both views' evidence over the prior.
+View A counts what a text is made of (capitals, digits, symbols, repeated words, line and word lengths, and the share of
+its words in each of BUCKETS hashed buckets); view B sees the metadata (language, source, declared length), as hashed
+indicators. Both are logistic models. They start on the labelled sample; in each round, each labels the unlabelled
+documents that it is most sure of for the other one, at the class balance of the labels. Sure means CONFIDENT over, or
+under, the log odds that the labels have anyhow, so a view that hardly tells the classes apart labels hardly anything. At the
+end each view is calibrated (a scale and an offset) on the labelled rows held back from training, one in CALIBRATE, and a
+document's log odds are the sum of both views' evidence over the prior.
 
 Training takes a bounded sample (LABELLED and UNLABELLED rows, drawn by a hash of the id at rates that the counts of all
 rows give) and runs in numpy on the driver; all documents are scored, whole. Held-out documents are never learned from.
 
 Defined cases: null and empty texts count as texts without content; null metadata is a value of its own; with labels of
-only one class all scores are that class; repeated rows are scored one by one; other columns are ignored.
+only one class all scores are that class, and with none one half; too few labels to calibrate leave a view as it is;
+repeated rows are scored one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from treeloom.llm.common import held_out
 
 LABELLED, UNLABELLED = 6000, 12000
 TURNS, SHARE = 3, 0.15
-META = 128
+CONFIDENT, CALIBRATE = 1.5, 4
+META, BUCKETS = 128, 128
 
 _BYTES = np.arange(256)
 _CLASSES = [
@@ -42,6 +46,19 @@ _CLASSES = [
 ]
 
 
+class _Buckets(dict):
+    """Buckets of words, remembered by the worker; forgotten when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word) % BUCKETS
+        return value
+
+
+_BUCKET_OF = _Buckets()
+
+
 def content(text: str | None) -> list[float]:
     """View A of a text."""
     raw = (text or "").encode("utf-8", "replace")
@@ -50,7 +67,8 @@ def content(text: str | None) -> list[float]:
     n, shrink = len(words), len(words) + 10
     shares = [float(np.log1p(20 * counts[c].sum() / (len(raw) + 50))) for c in _CLASSES]
     adjacent = sum(map(bytes.__eq__, words, words[1:]))
-    return [1.0, *shares, float(np.log1p(n) / 10), len(set(words)) / shrink, len(raw) / shrink / 10, 5 * adjacent / shrink, n / shrink]
+    held = np.bincount(np.fromiter(map(_BUCKET_OF.__getitem__, words), np.int64, n), minlength=BUCKETS)
+    return [1.0, *shares, float(np.log1p(n) / 10), len(set(words)) / shrink, len(raw) / shrink / 10, 5 * adjacent / shrink, n / shrink, *np.sqrt(held / shrink).tolist()]
 
 
 def metadata(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
@@ -83,6 +101,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray]) -> list[np.ndarray]:
     """Weights of each view after TURNS rounds of exchanged pseudo-labels."""
     share = y.mean()
+    prior = float(np.log(share / (1 - share)))
     seen = [(views[k], y) for k in range(2)]
     w = [fit(*seen[k]) for k in range(2)]
     free = np.ones(len(pool[0]), bool)
@@ -95,7 +114,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray]) ->
             z = pool[k][left] @ w[k]
             order = np.argsort(z, kind="stable")
             low, high = order[: int(quota * (1 - share))], order[len(order) - int(quota * share) :]
-            low, high = low[z[low] < -1.5], high[z[high] > 1.5]  # only the confident ones
+            low, high = low[z[low] < prior - CONFIDENT], high[z[high] > prior + CONFIDENT]  # only where the view says more than the prior
             chosen, told = left[np.r_[low, high]], np.r_[np.zeros(len(low)), np.ones(len(high))]
             other = 1 - k
             seen[other] = (np.vstack([seen[other][0], pool[other][chosen]]), np.r_[seen[other][1], told])
@@ -124,12 +143,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple:
     if not n or not total:
         return np.zeros(width), np.zeros(META), (0.0, 0.0), (0.0, 0.0), 0.0
     some = marks.where(drawn(LABELLED / n)).withColumn("quality", F.col("quality").cast("int"))  # about LABELLED rows
-    y, views = taken(rows.join(F.broadcast(some), "doc_id"))
+    back = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(CALIBRATE)) == 0
+    known = rows.join(F.broadcast(some), "doc_id")
+    y, views = taken(known.where(~back))
     if not len(y) or y.min() == y.max():
         return np.zeros(width), np.zeros(META), (0.0, 0.0), (0.0, 0.0), 10.0 * (2 * (y.max() if len(y) else 0.5) - 1)
     _, pool = taken(rows.where(drawn(UNLABELLED / total)).join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int")))
     w = co_train(views, y, [p if len(p) else np.zeros((0, v.shape[1])) for p, v in zip(pool, views, strict=True)])
-    calibrated = [tuple(fit(np.c_[v @ own, np.ones(len(y))], y)) for v, own in zip(views, w, strict=True)]
+    told, unseen = taken(known.where(back))
+    if len(told) and told.min() < told.max():
+        calibrated = [tuple(fit(np.c_[v @ own, np.ones(len(told))], told)) for v, own in zip(unseen, w, strict=True)]
+    else:
+        calibrated = [(1.0, 0.0)] * 2
     return *w, *calibrated, float(np.log(y.mean() / (1 - y.mean())))
 
 
