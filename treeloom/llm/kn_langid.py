@@ -4,8 +4,10 @@ A text becomes lower-case letters with single spaces between runs of them. Model
 ORDER in a bounded sample of labelled documents (SAMPLE a language, whole texts, drawn by a hash of the id at a rate that
 the counts of all rows give). They are kept as sorted arrays of packed n-grams with, per language, the discounted
 probability and the back-off weight. A document's score for a language is its length-normalised cross-entropy; the lowest
-wins. A temperature fitted on the sample turns cross-entropies into a probability; a limit on the winner's own
-cross-entropy, at the REJECT quantile of the sample's documents, marks texts that resemble no learned language.
+wins. Labelled documents that no model has seen, a quarter as many as the sample, calibrate: a temperature turns
+cross-entropies into a probability, and a limit on the winner's own cross-entropy, at the REJECT quantile of theirs, marks
+texts that resemble no learned language. Only cross-entropies of those documents go to the driver. The LANGUAGES values with
+the most documents are learned.
 
 Defined cases: null, empty and letterless texts give und, score 0, rejected; with no labelled rows every text does;
 equal cross-entropies go to the first language by name; other columns are ignored.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from treeloom.llm.common import held_out
 
 ORDER = 4
-SAMPLE = 1500
+SAMPLE, LANGUAGES = 1500, 500
 REJECT = 0.999
 DISCOUNT = 0.75
 UNKNOWN = "und"
@@ -119,13 +121,8 @@ class Model:
         size = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
         return np.stack([-np.bincount(owner, logs[code, k], minlength=len(texts)) / size for k in range(len(self.languages))], axis=1), letters
 
-    def calibrate(self, texts: list[str], labels: list[str]) -> None:
-        if not texts:
-            return
-        cross, letters = self.cross_entropy(texts)
-        right = np.array([self.languages.index(x) for x in labels])
-        use = letters > 0
-        cross, right = cross[use], right[use]
+    def calibrate(self, cross: np.ndarray, right: np.ndarray) -> None:
+        """cross: cross-entropies of documents under each language; right: the number of the language each one has."""
         if not len(cross):
             return
         best = (np.inf, 1.0)
@@ -153,11 +150,11 @@ class Model:
 def learn(docs: DataFrame) -> Model:
     """The models of a bounded sample: at most about SAMPLE documents a language, none of the held-out ones."""
     rows = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    rate = F.lit(0.0)
-    for language, n in sizes.items():
-        rate = F.when(F.col("lang") == language, F.lit(min(1.0, SAMPLE / n))).otherwise(rate)
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < rate * 1_000_003).select("lang", "text")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    # at least a fifth of each language is left for calibration
+    rates = docs.sparkSession.createDataFrame([(x, min(0.8, SAMPLE / n)) for x, n in sizes.items()], "lang string, rate double")
+    rows = rows.select("doc_id", "lang", "text").join(F.broadcast(rates), "lang").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003)
+    drawn = rows.where("place < rate").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,9 +167,18 @@ def learn(docs: DataFrame) -> Model:
     counted = drawn.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     frame = {name: counted[name].to_numpy() for name in ("lang", "gram", "n")}
     model = Model({x: (frame["gram"][frame["lang"] == x].astype(np.int64).view(np.uint64), frame["n"][frame["lang"] == x]) for x in sizes})
-    # part of the sample calibrates: an eighth of it, at most a few thousand texts
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < rate * 1_000_003 / 8).select("lang", "text").toArrow().to_pydict()
-    model.calibrate(some["text"], some["lang"])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _parts(whole):
+                cross, letters = shared.value.cross_entropy(batch.column(1).to_pylist())
+                some = pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(cross), pa.list_(pa.float64()))], names=["lang", "cross"])
+                yield some.filter(pa.array(letters > 0))
+
+    unseen = rows.where("place >= rate and place < rate * 1.25").select("lang", "text").mapInArrow(measure, "lang string, cross array<double>").toArrow().to_pydict()
+    if model.languages:
+        model.calibrate(np.array(unseen["cross"]).reshape(-1, len(model.languages)), np.array([model.languages.index(x) for x in unseen["lang"]], np.int64))
     return model
 
 
