@@ -42,12 +42,12 @@ def discard(spark: SparkSession) -> None:
 def compact(df: DataFrame, size: str = "large") -> DataFrame:
     """df in fewer partitions, for writing: small files cost more than they hold.
 
-    large: tables as long as the input, an eighth of the usual partitions, but four for each core at least. small: tables far
+    large: tables as long as the input, a quarter of the usual partitions, but eight for each core at least. small: tables far
     smaller than the texts, a sixteenth, but one for each core at least. few: some thousands of rows at most, one partition.
     """
     spark = df.sparkSession
     cores, usual = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce({"large": max(4 * cores, usual // 8), "small": max(cores, usual // 16), "few": 1}[size])
+    return df.coalesce({"large": max(8 * cores, usual // 4), "small": max(cores, usual // 16), "few": 1}[size])
 
 
 def stored(df: DataFrame, name: str, size: str = "large") -> DataFrame:

@@ -157,7 +157,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
         yield rows_of(region, node, -np.arange(len(region), 0, -1))  # and the last ones, counted back from the end
 
     spread = rows.repartitionByRange("region", "tail", "node").sortWithinPartitions("region", "tail", "node")
-    found = stored(spread.select("region", "node", F.spark_partition_id()).mapInArrow(run, "a bigint, b bigint, part int, place int"), "neighbours", "small")
+    found = stored(spread.select("region", "node", F.spark_partition_id()).mapInArrow(run, "a bigint, b bigint, part int, place int"), "neighbours")
     near = found.where("part is null").select("a", "b")
     # a few rows for each partition
     ends = found.where("place < 0").select((F.col("part") + 1).alias("part"), F.col("a").alias("region"), F.col("b").alias("x"), F.col("place").alias("back"))
@@ -386,9 +386,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id, kept of every document. 100 * intersection >= percent * union links two."""
     every = stored(_signatures(docs.select(F.col("doc_id").cast("bigint"), "text"), width), "signatures")
     able = every.where("set_key is not null and doc_id is not null")
-    classes = stored(able.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("sign").alias("sign")), "classes", "small")
+    classes = stored(able.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("sign").alias("sign")), "classes")
     signs = classes.select("node", "sign")
-    edges = stored(_screened(_neighbours(_tree_rows(signs)), signs), "edges", "small")
+    edges = stored(_screened(_neighbours(_tree_rows(signs)), signs), "edges")
     repeated = not able.groupBy("doc_id").count().where("count > 1").isEmpty()
     links = None if edges.isEmpty() else _links(docs, edges, classes.select("node", "size"), width, percent, repeated)
     if repeated:  # an id joins the classes of all its rows
