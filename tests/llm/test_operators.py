@@ -433,8 +433,93 @@ def test_edge_cases(spark, edge, bench, kind):
     assert near.count() == n and near.where("doc_id in (1, 2, 3) and n_shingles = 0 and kept").count() == (3 if n else 0)
 
 
+ODD_ROWS = [(900_001, None), (900_002, ""), (900_003, "few words only"), (900_004, None)]
+
+
+def test_pipeline_stage_by_stage(spark, sf_dir, bench):
+    import corpus_pipeline
+    import public_tokenizers
+    import sentencepiece
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120)
+    first = docs.orderBy("doc_id").limit(3)
+    more = docs.limit(1).select(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) if c == "doc_id" else F.col(c) for c in docs.columns])
+    odd = spark.createDataFrame(ODD_ROWS, "doc_id bigint, text string").select(*[F.col(c) if c in ("doc_id", "text") else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    docs = docs.union(odd).union(first).union(more).withColumn("part", F.lit(1)).withColumn("own", F.lit("x")).withColumn("named", F.lit(2)).cache()
+    stages, rows = dict(corpus_pipeline.STAGES), lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+    good = stages["quality rules"](spark, docs, sf_dir).cache()
+    judged = {(r["doc_id"]["id"], r["doc_id"]["own"]): r["kept"] for r in quality_mcd.judge(corpus_pipeline._keyed(docs)).collect()}
+    own = {r["doc_id"]: r["own_"] for r in docs.select("doc_id", F.xxhash64("text").alias("own_")).collect()}
+    assert good.columns == docs.columns
+    assert rows(good) == Counter({k: n for k, n in rows(docs).items() if judged[(k[0], own[k[0]])]})
+    for i, text in rows(docs):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        assert len(words) >= 20 or (i, text) not in rows(good)
+
+    single = stages["near-duplicates"](spark, good, sf_dir)
+    texts = {i if i is not None else 1 << 62: t for i, t in rows(good)}
+    part, _ = brute_components(texts, 5, 80)
+    assert rows(single) == Counter({(i if i < 1 << 62 else None, texts[i]): 1 for i in texts if part[i] == i})
+    assert single.columns == docs.columns
+
+    clean = stages["decontamination"](spark, single, sf_dir)
+    held = {r["doc_id"] for r in decontamination.matches(single, bench).collect()}
+    assert rows(clean) == Counter({k: n for k, n in rows(single).items() if k[0] not in held})
+
+    masked = stages["secret scan"](spark, clean, sf_dir)
+    before = {i: t for i, t in rows(clean)}
+    for r in masked.collect():
+        text, at = "", 0
+        spans = [tuple(map(int, x.split(":")[1:])) for x in secret_scan.digest(clean.where(F.col("doc_id") == r["doc_id"])).first()["spans"].split(",") if x] if r["text"] != before[r["doc_id"]] else []
+        for a, b in spans:
+            text += before[r["doc_id"]][at:a] + "[SECRET]" if a >= at else ""
+            at = max(at, b)
+        assert r["text"] == text + before[r["doc_id"]][at:] and r["n_chars"] == len(r["text"]) and not brute_spans(r["text"])
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] for r in masked.collect()}
+    coded = stages["sentencepiece"](spark, masked, sf_dir).collect()
+    assert {r["doc_id"]: r["ids_sha256"] for r in coded} == {i: hashlib.sha256(",".join(map(str, library.encode(t))).encode()).hexdigest() for i, t in texts.items()}
+
+    nothing = docs.limit(0)
+    for stage in stages.values():
+        nothing = stage(spark, nothing, sf_dir)
+        assert nothing.count() == 0
+
+
 def test_pipeline(spark, sf_dir, docs):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, sf_dir)
     assert 0 < out.count() < docs.count() and out.select("doc_id").distinct().count() == out.count()
+
+
+def test_stored_tables_can_be_discarded(spark):
+    import os
+
+    from treeloom.llm import common
+
+    left = common.stored(spark.range(3).toDF("x"), "some")
+    path = common.run_dir(spark).replace("file:", "")
+    assert left.count() == 3 and os.path.isdir(path)
+    common.discard(spark)
+    assert not os.path.isdir(path)
+
+
+def by_held_out(rows, right):
+    return [right(r) for r in rows if r["held_out"]]
+
+
+def test_held_out_figures(spark):
+    """Figures of documents that no model has learned from, on the next larger tables."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    told = kn_langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean(by_held_out(told, lambda r: r["lang"] == r["lang_pred"])) > 0.98
+    good = cotraining.score(docs, labels).join(labels, "doc_id").where("quality is not null").collect()
+    assert np.mean(by_held_out(good, lambda r: r["kept"] == (r["quality"] == 1))) > 0.95
+    toxic = nnpu.score(docs, labels).join(labels, "doc_id").where("held_out and toxic is not null").collect()
+    assert np.mean([r["predicted"] for r in toxic if r["toxic"]]) > 0.6 and np.mean([r["predicted"] for r in toxic if not r["toxic"]]) < 0.1
+    yes, no = ([r["score"] for r in toxic if r["toxic"] == k] for k in (1, 0))
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in yes for b in no]) > 0.7  # few positives to learn from
