@@ -41,8 +41,8 @@ PERMUTATIONS = DEPTH * TREES
 SCREEN = 0.55
 #: Classes in a block, and hashes, at which a cluster is cut into more blocks.
 BLOCK, BLOCK_HASHES = 500, 400_000
-#: Ids of classes with candidates are broadcast up to this number (some 40 bytes each in memory); beyond it the texts are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Ids of classes with candidates are broadcast up to this number (100 bytes each in memory or less); beyond it the texts are shuffled.
+BROADCAST_IDS = 400_000
 SALTS = 16
 #: Edges that a task of components() contracts at once.
 CONTRACTED = 200_000
@@ -226,7 +226,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     def with_least(rows: DataFrame, low: DataFrame) -> DataFrame:
         salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).drop("salt")
+        return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["u", "salt"]).drop("salt")
 
     said = None
     while True:
@@ -400,11 +400,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     out = every.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     shared = classes.where("n > 1").select("set_key", F.col("node"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    out = out.join(shared, ["set_key", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
+    # merged: their files are small, but not what the salts make of them, so that no estimate may choose to broadcast
+    out = out.join(shared.hint("merge"), ["set_key", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
     if parts is not None:
         spread = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
         wide = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = out.withColumn("salt", spread).join(wide, ["node", "salt"], "left")
+        out = out.withColumn("salt", spread).join(wide.hint("merge"), ["node", "salt"], "left")
         out = out.withColumn("component_id", F.coalesce("component", "node"))
     else:
         out = out.withColumn("component_id", F.col("node"))
