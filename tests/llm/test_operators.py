@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -422,7 +423,11 @@ def test_edge_cases(spark, edge, bench, kind):
     pages = rows.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
     import public_tokenizers
 
-    assert html_extract.extract(pages).count() == n
+    assert html_extract.extract(pages.withColumn("text", F.lit("x")).withColumn("n_chars", F.lit(1))).columns == ["page_id", "url", "text", "n_chars"]
+    assert html_extract.extract(pages.union(pages)).count() == 2 * n
+    clash = rows.withColumns({c: F.lit(1) for c in ("own", "starts", "length", "hashes", "print", "item_id", "group", "x0", "named", "salt", "size")})
+    assert decontamination.matches(clash.union(clash), bench).count() == 0
+    assert quality_mcd.judge(clash).count() == n and sharding.shard(clash).count() == n and lsh_forest.near_duplicates(clash, 4, 80).count() == n
     assert secret_scan.digest(rows).count() == n and secret_scan.redact(rows).columns == rows.columns
     assert cotraining.score(rows, labels).count() == n and nnpu.score(rows, labels).count() == n
     assert decontamination.matches(rows, bench).count() == 0 and decontamination.matches(rows, bench.limit(0)).count() == 0
@@ -491,13 +496,15 @@ def test_pipeline_stage_by_stage(spark, sf_dir, bench):
 def test_pipeline(spark, sf_dir, docs):
     import corpus_pipeline
 
+    from treeloom.llm import common
+
     out = corpus_pipeline.run(spark, sf_dir)
+    names = os.listdir(common.run_dir(spark).replace("file:", ""))
+    assert not [x for x in names if x.startswith(("scratch", "stage0", "stage3"))] and [x for x in names if x.startswith("stage4")]
     assert 0 < out.count() < docs.count() and out.select("doc_id").distinct().count() == out.count()
 
 
 def test_stored_tables_can_be_discarded(spark):
-    import os
-
     from treeloom.llm import common
 
     left = common.stored(spark.range(3).toDF("x"), "some")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,18 +30,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folder under the shared one that tables go to at present.
+_FOLDER: ContextVar[str] = ContextVar("folder", default="")
+
+
 def run_dir(spark: SparkSession) -> str:
-    """The folder of all tables that this application stores: it can be deleted as a whole once results have been read."""
-    return f"{shared_dir(spark)}/treeloom-{spark.sparkContext.applicationId}"
+    """The folder that tables are stored in at present: one of this application's, which can be deleted as a whole."""
+    return f"{shared_dir(spark)}/treeloom-{spark.sparkContext.applicationId}{_FOLDER.get()}"
 
 
-def discard(spark: SparkSession) -> None:
-    """Deletes all stored tables of this application; what still reads one of them fails afterwards."""
+def discard(spark: SparkSession, path: str | None = None) -> None:
+    """Deletes a folder of stored tables, or all of this application; what still reads one of them fails afterwards."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path = jvm.org.apache.hadoop.fs.Path(path or run_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end: for work whose result has been written elsewhere by then."""
+    token = _FOLDER.set(f"{_FOLDER.get()}/scratch-{uuid.uuid4().hex}")
+    path = run_dir(spark)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        discard(spark, path)
+
+
 def compact(df: DataFrame, size: str = "large") -> DataFrame:
     """df in fewer partitions, for writing: small files cost more than they hold.
 
@@ -50,10 +69,10 @@ def compact(df: DataFrame, size: str = "large") -> DataFrame:
     return df.coalesce({"large": max(8 * cores, usual // 4), "small": max(cores, usual // 16), "few": 1}[size])
 
 
-def stored(df: DataFrame, name: str, size: str = "large") -> DataFrame:
+def stored(df: DataFrame, name: str, size: str = "large", folder: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, and outlives any executor."""
     spark = df.sparkSession
-    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     compact(df, size).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
