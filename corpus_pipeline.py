@@ -9,15 +9,17 @@ and columns beyond those of documents, go through every stage as they are.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.llm import decontamination, lsh_forest, quality_mcd, secret_scan, spm_bpe
-from treeloom.llm.common import compact, stored, table
+from treeloom.llm.common import compact, discard, run_dir, scratch, stored, table
 from treeloom.llm.queries import piece_model
 
 #: Rows to drop up to which their keys are broadcast (some 60 bytes each in memory); beyond, documents and keys are shuffled.
-BROADCAST_KEYS = 600_000
+BROADCAST_KEYS = 400_000
 
 
 def _own() -> Column:
@@ -87,7 +89,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The digests of what the stages leave. Each stage's scratch tables go when its result is written, and that when the
+    next one's is."""
+    docs, folder, before = table(spark, sf_dir, "documents"), run_dir(spark), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"stage{k}")
+        own = f"{folder}/stage{k}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), "rows", folder=own)
+        if before:
+            discard(spark, before)
+        before = own
     return docs
