@@ -36,6 +36,15 @@ def test_files_keep_their_order(spark, tmp_path):
     assert [r["tree_id"].rsplit("/", 1)[1] for r in nodes.select("tree_id", "file_ord").distinct().orderBy("file_ord").collect()] == ["z.swc", "a.swc", "m.swc"]
 
 
+def test_volumes(tmp_path):
+    labels = np.zeros((2, 3, 4), np.int32)
+    np.save(tmp_path / "v.npy", labels)
+    np.savez(tmp_path / "v.npz", labels=labels, spacing=[10, 20, 30])
+    assert lookups.load_volume(str(tmp_path / "v.npy")).spacing == (25.0, 25.0, 25.0)
+    found = lookups.load_volume(str(tmp_path / "v.npz"))
+    assert found.size == (2, 3, 4) and found.spacing == (10.0, 20.0, 30.0)
+
+
 def test_weights_and_vectors(spark, tmp_path):
     w = {"enc/kernel": np.eye(2)}
     keep = lookups.BestWeights(str(tmp_path / "best.npz"))
@@ -81,6 +90,15 @@ def test_stages_can_be_replaced_and_counted(spark):
     assert sorted(map(tuple, apart.sequence().collect())) == sorted(map(tuple, whole.sequence().collect()))
 
 
+def test_trees_can_be_added_and_walked_otherwise(spark):
+    rows = lambda name: spark.createDataFrame([(name, 1, 1, 0.0, 0.0, 0.0, 1.0, -1)] + [(name, k, 2, float(20 * k), float(k % 2), 0.0, 1.0, k // 2) for k in range(2, 30)], "tree_id string, n bigint, type int, x double, y double, z double, r double, parent bigint")
+    both = pipeline.TreeDataset(rows("a")).add(rows("b"))
+    ids = lambda data: {r["tree_id"] for r in data.sequence().select("tree_id").distinct().collect()}
+    assert ids(both) == {"a", "b"} and ids(both.add(rows("c"), overwrite=True)) == {"c"}
+    backwards = lambda tree, parts, ordering, lesser_first: [k for p in parts for k in p][::-1]
+    assert pipeline.sequences(rows("a"), walk=backwards).orderBy("pos").first()["n"] == 29
+
+
 def test_trees_over_many_batches(spark):
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")

@@ -224,18 +224,21 @@ def _checked_ordering(ordering: str) -> None:
         raise ValueError("ordering must be pre, in or post")
 
 
-def _traversed(tree: Tree, ordering: str, lesser_first: bool, classes) -> dict:
+def _traversed(tree: Tree, ordering: str, lesser_first: bool, classes, walk=kernel.traverse) -> dict:
     parts = [part for _, kinds in classes for part in kernel.components(tree, np.flatnonzero(np.isin(tree.types, kinds)))]
-    at = kernel.traverse(tree, parts, ordering, lesser_first)
+    at = walk(tree, parts, ordering, lesser_first)
     if not at:
         raise TreeError("empty_sequence")
     return {"pos": np.arange(1, len(at) + 1), "n": tree.ids[at], "x": tree.xyz[at, 0], "y": tree.xyz[at, 1], "z": tree.xyz[at, 2], "type": tree.types[at], "node_type": kernel.topology(tree)[at]}
 
 
-def sequences(nodes: DataFrame, ordering: str = "pre", lesser_first: bool = True, classes=CLASSES) -> DataFrame:
-    """The traversal of every tree's components, with topology labels: tree_id, pos, n, x, y, z, type, node_type, reason."""
+def sequences(nodes: DataFrame, ordering: str = "pre", lesser_first: bool = True, classes=CLASSES, walk=kernel.traverse) -> DataFrame:
+    """The traversal of every tree's components, with topology labels: tree_id, pos, n, x, y, z, type, node_type, reason.
+
+    walk(tree, parts, ordering, lesser_first) gives the rows in order: another one makes other kinds of subtree nodes.
+    """
     _checked_ordering(ordering)
-    return _grouped(nodes, SEQUENCE, lambda tree, radius: _traversed(tree.checked(), ordering, lesser_first, classes))
+    return _grouped(nodes, SEQUENCE, lambda tree, radius: _traversed(tree.checked(), ordering, lesser_first, classes, walk))
 
 
 def clean_sequences(nodes: DataFrame, ordering: str = "pre", lesser_first: bool = True, classes=CLASSES, limit: float = 10.0, least: int = 10, keep_unbranched: bool = False) -> DataFrame:
@@ -266,6 +269,11 @@ class TreeDataset:
         self.nodes = read() if nodes is None else nodes
         self._qc, self._annotate, self._sequencer = qc, annotate, sequencer
 
+    def add(self, nodes: DataFrame, overwrite: bool = False) -> TreeDataset:
+        """A set of these trees and more; with overwrite, of the new ones in place of these."""
+        both = nodes if overwrite else self.nodes.unionByName(nodes)
+        return TreeDataset(both, self._qc, self._annotate, sequencer=self._sequencer)
+
     def cleaned(self, **options) -> DataFrame:
         return (self._qc or quality_control)(self.nodes, **options)
 

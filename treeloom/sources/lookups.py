@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,25 @@ def volume_table(spark: SparkSession, volume: np.ndarray) -> DataFrame:
     return spark.createDataFrame(rows, "ix int, iy int, iz int, region_id bigint")
 
 
-def load_volume(path: str) -> np.ndarray:
-    return np.load(path, allow_pickle=False)
+@dataclass(frozen=True)
+class Volume:
+    """A label volume with the size of a voxel along each axis."""
+
+    labels: np.ndarray
+    spacing: tuple[float, float, float] = (25.0, 25.0, 25.0)
+
+    @property
+    def size(self) -> tuple[int, int, int]:
+        return self.labels.shape
+
+
+def load_volume(path: str, spacing: tuple[float, float, float] = (25.0, 25.0, 25.0)) -> Volume:
+    """A volume from an .npy file, or from an .npz file with labels and, perhaps, spacing."""
+    found = np.load(path, allow_pickle=False)
+    if isinstance(found, np.ndarray):
+        return Volume(found, spacing)
+    with found:
+        return Volume(found["labels"], tuple(map(float, found["spacing"])) if "spacing" in found.files else spacing)
 
 
 def rollup_table(spark: SparkSession, path: str) -> DataFrame:
