@@ -325,7 +325,7 @@ def _joined_groups(seats: DataFrame, edges: DataFrame, sets: DataFrame, percent:
             cross = cross.join(tested, ["a", "b"], "left_anti")
         best = cross.groupBy(F.least("part_a", "part_b").alias("p"), F.greatest("part_a", "part_b").alias("q")).agg(F.max(F.struct("likeness", "a", "b")).alias("best"))
         best = stored(best.select("p", "q", "best.a", "best.b"), "best", "small")
-        found = stored(_confirmed(best.select("a", "b"), sets, percent), "links", "small")
+        found = stored(_confirmed(best.select("a", "b"), sets, percent), "links")
         links = found if links is None else links.union(found)
         tested = best.select("a", "b") if tested is None else tested.union(best.select("a", "b"))
         if found.isEmpty():
@@ -358,7 +358,7 @@ def _across(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
         both = named(left, "x").join(named(right, "y"), ["cluster", "hash"]).where("part_x != part_y and (size_x < size_y or size_x = size_y and (node_x < node_y or of_main_x != of_main_y))")
         both = both.where((100 + percent) * F.least("rest_x", "rest_y") >= percent * (F.col("size_x") + F.col("size_y"))).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
         pairs = both if pairs is None else pairs.union(both)
-    return stored(_confirmed(pairs.distinct(), sets, percent), "links", "small")
+    return stored(_confirmed(pairs.distinct(), sets, percent), "links")
 
 
 def _links(docs: DataFrame, edges: DataFrame, sizes: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
@@ -371,7 +371,7 @@ def _links(docs: DataFrame, edges: DataFrame, sizes: DataFrame, width: int, perc
     blocks = stored(blocks.where("blocks > 1"), "blocks", "small")
     placed = clusters.join(_bounded(blocks), "cluster", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int"))
     inner = placed.join(_sets(docs, clusters.select("node"), width, repeated), "node").withColumn("part", F.col("node"))
-    found = stored(inner.groupBy("cluster", "block").applyInArrow(_linker(percent), "a bigint, b bigint"), "links", "small")
+    found = stored(inner.groupBy("cluster", "block").applyInArrow(_linker(percent), "a bigint, b bigint"), "links")
     if blocks.isEmpty():
         return found
     seats = placed.where("blocks is not null").join(components(found).select("node", F.col("component").alias("part")), "node", "left")
