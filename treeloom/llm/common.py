@@ -61,12 +61,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def compact(df: DataFrame, size: str = "large") -> DataFrame:
     """df in fewer partitions, for writing: small files cost more than they hold.
 
-    large: tables as long as the input, a quarter of the usual partitions, but eight for each core at least. small: tables far
-    smaller than the texts, a sixteenth, but one for each core at least. few: some thousands of rows at most, one partition.
+    large: tables as long as the input, a quarter of the usual partitions, but eight for each core at least. medium: such
+    tables without texts, a sixteenth, but two for each core at least. small: tables far smaller than the texts, a sixteenth,
+    but one for each core at least. few: some thousands of rows at most, one partition.
     """
     spark = df.sparkSession
     cores, usual = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce({"large": max(8 * cores, usual // 4), "small": max(cores, usual // 16), "few": 1}[size])
+    return df.coalesce({"large": max(8 * cores, usual // 4), "medium": max(2 * cores, usual // 16), "small": max(cores, usual // 16), "few": 1}[size])
 
 
 def stored(df: DataFrame, name: str, size: str = "large", folder: str | None = None) -> DataFrame:
@@ -77,6 +78,18 @@ def stored(df: DataFrame, name: str, size: str = "large", folder: str | None = N
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Documents in an Arrow batch, where the session leaves it at its own 10,000: texts can be long, and a batch is held whole.
+BATCH_ROWS = 1000
+
+
+def short_batches(docs: DataFrame) -> DataFrame:
+    """docs, for mapInArrow over its texts: sees to it that the session's batches are short."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def held_out(doc_id: Column | str, folds: int = 5) -> Column:
     """True for the documents that no model may learn from: crc32 of the id as text, modulo folds, is 0."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

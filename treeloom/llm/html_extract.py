@@ -26,6 +26,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from treeloom.llm.common import short_batches
+
 # Element names of the HTML standard, by role, and words that name page furniture in class, id or role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -293,4 +295,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             )
 
     ids = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", html_col).mapInArrow(run, f"page_id {ids}, url string, text string, n_chars bigint")
+    return short_batches(pages).select("page_id", "url", html_col).mapInArrow(run, f"page_id {ids}, url string, text string, n_chars bigint")

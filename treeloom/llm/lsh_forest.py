@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import stored
+from treeloom.llm.common import compact, short_batches, stored
 
 DEPTH, TREES, TAIL, NEAR = 4, 24, 16, 3
 PERMUTATIONS = DEPTH * TREES
@@ -44,6 +44,8 @@ BLOCK, BLOCK_HASHES = 500, 400_000
 #: Ids of classes with candidates are broadcast up to this number (100 bytes each in memory or less); beyond it the texts are shuffled.
 BROADCAST_IDS = 400_000
 SALTS = 16
+#: Rounds in which the likeliest candidates between groups of a cluster are confirmed.
+ROUNDS = 8
 #: Edges that a task of components() contracts at once.
 CONTRACTED = 200_000
 
@@ -56,7 +58,7 @@ class _Words(dict):
     """Hashes of words, remembered by the worker; forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -105,7 +107,7 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
                     signs.append(signature(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sign"])
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, sign binary")
+    return short_batches(docs).select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, sign binary")
 
 
 def _tree_rows(signs: DataFrame) -> DataFrame:
@@ -157,7 +159,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
         yield rows_of(region, node, -np.arange(len(region), 0, -1))  # and the last ones, counted back from the end
 
     spread = rows.repartitionByRange("region", "tail", "node").sortWithinPartitions("region", "tail", "node")
-    found = stored(spread.select("region", "node", F.spark_partition_id()).mapInArrow(run, "a bigint, b bigint, part int, place int"), "neighbours")
+    found = stored(spread.select("region", "node", F.spark_partition_id()).mapInArrow(run, "a bigint, b bigint, part int, place int"), "neighbours", "medium")
     near = found.where("part is null").select("a", "b")
     # a few rows for each partition
     ends = found.where("place < 0").select((F.col("part") + 1).alias("part"), F.col("a").alias("region"), F.col("b").alias("x"), F.col("place").alias("back"))
@@ -300,11 +302,11 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int, repeated: bool) -> Data
                 found = [shingle_set(x, width).view(np.int64) for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(_bounded(nodes), "node", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("text"))
+    rows = rows.join(_bounded(nodes), "node", "left_semi")
     if repeated:
-        texts = texts.groupBy("node", F.xxhash64("text"), F.octet_length("text")).agg(F.first("text").alias("text")).select("node", "text")
-    return texts.mapInArrow(run, "node bigint, hashes array<bigint>").where(F.size("hashes") > 0)
+        rows = rows.groupBy("node", F.xxhash64("text"), F.octet_length("text")).agg(F.first("text").alias("text")).select("node", "text")
+    return short_batches(rows).mapInArrow(run, "node bigint, hashes array<bigint>").where(F.size("hashes") > 0)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -317,8 +319,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _joined_groups(seats: DataFrame, edges: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """seats (node, cluster, part) with parts joined by confirmed edges, the likeliest of each two parts first; those edges."""
     tested = links = None
+    # what is still apart after the last round goes through the exact filter like everything else
     ends = edges.join(seats.select(F.col("node").alias("a")), "a", "left_semi")
-    while True:
+    for _ in range(ROUNDS):
         side = lambda end: seats.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))  # noqa: E731, B023
         cross = ends.join(side("a"), "a").join(side("b"), "b").where("part_a != part_b")
         if tested is not None:
@@ -329,9 +332,10 @@ def _joined_groups(seats: DataFrame, edges: DataFrame, sets: DataFrame, percent:
         links = found if links is None else links.union(found)
         tested = best.select("a", "b") if tested is None else tested.union(best.select("a", "b"))
         if found.isEmpty():
-            return seats, links
+            break
         merged = components(best.join(found, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b"))).select(F.col("node").alias("part"), "component")
         seats = stored(seats.join(merged, "part", "left").select("node", "cluster", F.coalesce("component", "part").alias("part")), "seats", "small")
+    return seats, links
 
 
 def _across(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
@@ -371,7 +375,7 @@ def _links(docs: DataFrame, edges: DataFrame, sizes: DataFrame, width: int, perc
     blocks = stored(blocks.where("blocks > 1"), "blocks", "small")
     placed = clusters.join(_bounded(blocks), "cluster", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int"))
     inner = placed.join(_sets(docs, clusters.select("node"), width, repeated), "node").withColumn("part", F.col("node"))
-    found = stored(inner.groupBy("cluster", "block").applyInArrow(_linker(percent), "a bigint, b bigint"), "links")
+    found = stored(inner.groupBy("cluster", "block").applyInArrow(_linker(percent), "a bigint, b bigint"), "links", "medium")
     if blocks.isEmpty():
         return found
     seats = placed.where("blocks is not null").join(components(found).select("node", F.col("component").alias("part")), "node", "left")
@@ -386,9 +390,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id, kept of every document. 100 * intersection >= percent * union links two."""
     every = stored(_signatures(docs.select(F.col("doc_id").cast("bigint"), "text"), width), "signatures")
     able = every.where("set_key is not null and doc_id is not null")
-    classes = stored(able.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("sign").alias("sign")), "classes")
+    classes = stored(able.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("sign").alias("sign")), "classes", "medium")
     signs = classes.select("node", "sign")
-    edges = stored(_screened(_neighbours(_tree_rows(signs)), signs), "edges")
+    edges = stored(_screened(_neighbours(_tree_rows(signs)), signs), "edges", "medium")
     repeated = not able.groupBy("doc_id").count().where("count > 1").isEmpty()
     links = None if edges.isEmpty() else _links(docs, edges, classes.select("node", "size"), width, percent, repeated)
     if repeated:  # an id joins the classes of all its rows
@@ -409,4 +413,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         out = out.withColumn("component_id", F.coalesce("component", "node"))
     else:
         out = out.withColumn("component_id", F.col("node"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return compact(out, "medium").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
