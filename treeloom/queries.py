@@ -399,6 +399,15 @@ def _features(*columns: str) -> str:
     return ", ".join(f"round(cast(cast({c} as float) as double), 3) + 0.0 as v{k}" for k, c in enumerate(columns))
 
 
+def _kept(values, some) -> object:
+    """A row (at, v) for each element that isn't padding: they are picked in the array, so that padding makes no rows."""
+    return F.explode(F.filter(F.transform(values, lambda v, i: F.struct(i.cast("bigint").alias("at"), v.alias("v"))), lambda x: some(x["v"])))
+
+
+def _real(step) -> object:
+    return F.exists(step, lambda x: x != 0)
+
+
 _REGION = [f"case when n % 5 = 4 then -1 else {value} end" for value in ("n % 5", "(n % 5) * (n % 5)")]
 _COORD = [f"({c} - avg({c}) over w) / case when stddev_pop({c}) over w = 0 then 1 else stddev_pop({c}) over w end" for c in "xyz"]
 _ONE_HOT = [f"case when node_type = '{t}' then 1 else 0 end" for t in tensors.NODE_TYPES]
@@ -412,9 +421,8 @@ def _flat(spark, sf_dir) -> DataFrame:
        f" (select tree_id, pos, count(*) over w as m, {_features(*_REGION, *_COORD, *_ONE_HOT)} from sq window w as (partition by tree_id)) where pos > m - 2000")
 def flat_tensor(spark, sf_dir):
     """The steps of the tensors that aren't padding; at counts from the front."""
-    steps = _flat(spark, sf_dir).select("tree_id", F.size("values").cast("bigint").alias("steps"), F.posexplode("values").alias("at", "v"))
-    steps = steps.where(F.exists("v", lambda x: x != 0))
-    return steps.select("tree_id", "steps", F.col("at").cast("bigint").alias("at"), *_step_columns("v", 8))
+    steps = _flat(spark, sf_dir).select("tree_id", F.size("values").cast("bigint").alias("steps"), _kept("values", _real).alias("s"))
+    return steps.select("tree_id", "steps", "s.at", *_step_columns("s.v", 8))
 
 
 @query(f"with recursive {_SEQUENCES}, wa as (select *, 1 + coalesce(sum(case when node_type = 'T' then 1 else 0 end) over (partition by tree_id order by pos rows between unbounded preceding and 1 preceding), 0) as word, sum(case when node_type = 'T' then 1 else 0 end) over (partition by tree_id) as words from sq),"
@@ -424,9 +432,9 @@ def flat_tensor(spark, sf_dir):
 def nested_tensor(spark, sf_dir):
     """The steps of the tensors that aren't padding; word_at and step_at count from the front."""
     made = tensors.nested_tensor(_inputs(spark, sf_dir), features=("region", "topology"))
-    words = made.select("tree_id", F.posexplode("values").alias("word_at", "w")).where(F.exists("w", lambda s: F.exists(s, lambda x: x != 0)))
-    steps = words.select("tree_id", F.col("word_at").cast("bigint").alias("word_at"), F.posexplode("w").alias("step_at", "v")).where(F.exists("v", lambda x: x != 0))
-    return steps.select("tree_id", "word_at", F.col("step_at").cast("bigint").alias("step_at"), *_step_columns("v", 5))
+    words = made.select("tree_id", _kept("values", lambda w: F.exists(w, _real)).alias("w"))
+    steps = words.select("tree_id", F.col("w.at").alias("word_at"), _kept("w.v", _real).alias("s"))
+    return steps.select("tree_id", "word_at", F.col("s.at").alias("step_at"), *_step_columns("s.v", 5))
 
 
 @query()
