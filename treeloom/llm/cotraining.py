@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import held_out
+from treeloom.llm.common import held_out, short_batches
 
 LABELLED, UNLABELLED = 6000, 12000
 TURNS, SHARE = 3, 0.15
@@ -126,7 +126,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray]) ->
 def learn(docs: DataFrame, labels: DataFrame) -> tuple:
     """(weights of A, of B, calibration of A, of B, prior log odds). labels: doc_id, quality."""
     marks = labels.where(F.col("quality").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = docs.where(~held_out("doc_id") & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang", "source", "n_chars")
+    rows = short_batches(docs).where(~held_out("doc_id") & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang", "source", "n_chars")
     n, total = marks.count(), rows.select("doc_id").count()
     drawn = lambda rate: F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_003)) < min(1.0, rate) * 1_000_003
 
@@ -171,4 +171,4 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array(p >= 0.5)], names=["doc_id", "held_out", "score", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out("doc_id").alias("held_out"), "text", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, kept boolean")
+    return short_batches(docs).select("doc_id", held_out("doc_id").alias("held_out"), "text", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, kept boolean")
