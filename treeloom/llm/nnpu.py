@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import held_out
+from treeloom.llm.common import held_out, short_batches
 
 POSITIVES, UNLABELLED = 3000, 9000
 BITS = 20
@@ -106,7 +106,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     marks = marks.where(~held_out("doc_id"))
     row = marks.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("bigint")).alias("toxic")).first()
     n, toxic = row["n"] or 0, row["toxic"] or 0
-    rows = docs.where(~held_out("doc_id") & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    rows = short_batches(docs).where(~held_out("doc_id") & F.col("doc_id").isNotNull()).select("doc_id", "text")
     total = rows.select("doc_id").count()
     if not toxic or not total:
         return train([], [], 0.5)
@@ -139,4 +139,4 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return short_batches(docs).select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
