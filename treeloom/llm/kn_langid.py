@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import held_out
+from treeloom.llm.common import held_out, short_batches
 
 ORDER = 4
 SAMPLE, LANGUAGES = 1500, 500
@@ -149,7 +149,7 @@ class Model:
 
 def learn(docs: DataFrame) -> Model:
     """The models of a bounded sample: at most about SAMPLE documents a language, none of the held-out ones."""
-    rows = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = short_batches(docs).where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     # at least a fifth of each language is left for calibration
     rates = docs.sparkSession.createDataFrame([(x, min(0.8, SAMPLE / n)) for x, n in sizes.items()], "lang string, rate double")
@@ -194,7 +194,7 @@ def identify(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return short_batches(docs).select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def _parts(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
