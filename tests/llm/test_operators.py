@@ -172,6 +172,22 @@ def test_sentencepiece(docs, texts):
     assert (row["n_tokens"], row["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
 
 
+def test_sentencepiece_decodes_ids(spark, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    text = "the sea and 😀 the shore"
+    own = spm_bpe.Model(open(path, "rb").read())
+    the = own.pieces.index("▁the")
+    assert own.encode(text).count(the) == 2
+    own.surface[the] = b" THE"  # what is decoded follows from ids and pieces alone
+    assert own.digests([text])[0][2] == "THE sea and 😀 THE shore"
+    decoded = []
+    monkeypatch.setattr(own, "decode", lambda ids: decoded.append(ids) or "x")
+    assert own.digests([text, ""]) == [(len(own.encode(text)), ",".join(map(str, own.encode(text))).encode(), "x"), (0, b"", "x")]
+    assert decoded[0] == own.encode(text) and decoded[1] == []
+
+
 def test_sentencepiece_forgets(texts, monkeypatch):
     import public_tokenizers
 

@@ -9,6 +9,8 @@ compacted and the rounds go on until no pair is left. Characters outside the voc
 than LONG characters (a text without spaces) would need as many rounds as it has merges: there the same merges, in the
 same order, are taken from a priority queue.
 
+Decoding takes a text's ids, never the text: their pieces in a row, without the space in front that escaping put there.
+
 Defined cases: null counts as empty; an empty text has no ids and decodes to an empty text. Whole texts are encoded,
 whatever their length; what a worker remembers of words is bounded (MEMORY_BYTES): the words of late in one half, those of
 before in the other, which is forgotten when the first is full.
@@ -34,6 +36,8 @@ MEMORY_BYTES, ENTRY = 90_000_000, 190
 #: Words of more characters go through a priority queue, and aren't remembered.
 LONG = 1000
 NONE = np.int64(1) << 40
+#: Ids as they are remembered.
+IDS = np.dtype("<i4")
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -111,10 +115,8 @@ class Model:
         self.at_once = best > self.rank
         self.surface = [self._surface(p, k) for p, k in zip(self.pieces, kinds, strict=True)]
         self.digits = [str(i).encode() for i in range(len(self.pieces))]
-        self.digit_count = np.array([len(x) for x in self.digits], np.int64)
-        self.words: dict[str, bytes] = {}  # ids of words, as text
+        self.words: dict[str, bytes] = {}  # ids of words, as IDS
         self.before: dict[str, bytes] = {}
-        self.odd: dict[str, bytes] = {}  # what words decode to that don't decode to themselves
         self.remembered = 0
         self.pair_of: dict[int, int] = {}
 
@@ -233,15 +235,9 @@ class Model:
         return out
 
     def _remember(self, words: list[str], flat: np.ndarray, end: np.ndarray) -> None:
-        ids = flat.tolist()
-        text = b",".join(map(self.digits.__getitem__, ids))
-        place = np.r_[0, np.cumsum(self.digit_count[flat] + 1)][np.r_[0, end]].tolist()
-        self.words.update(zip(words, [text[a : b - 1] for a, b in zip(place[:-1], place[1:], strict=True)], strict=True))
-        self.remembered += ENTRY * len(words) + 2 * sum(map(len, words)) + len(text)
-        if self.unknown in ids:
-            for w, a, b in zip(words, [0, *end[:-1].tolist()], end.tolist(), strict=True):
-                if self.unknown in ids[a:b]:
-                    self.odd[w] = b"".join([self.surface[i] for i in ids[a:b]])
+        data, place = flat.astype(IDS).tobytes(), (np.r_[0, end] * IDS.itemsize).tolist()
+        self.words.update(zip(words, [data[a:b] for a, b in zip(place[:-1], place[1:], strict=True)], strict=True))
+        self.remembered += ENTRY * len(words) + 2 * sum(map(len, words)) + len(data)
 
     def learn(self, words: set[str]) -> list[str]:
         """Remember the ids of words not met of late; those too long to be kept are returned."""
@@ -264,28 +260,21 @@ class Model:
         """For each text the number of ids, the ids as text, and what they decode to."""
         if self.remembered > MEMORY_BYTES // 2:
             self.words, self.before, self.remembered = {}, self.words, 0
-            self.odd = {w: x for w, x in self.odd.items() if w in self.before}
         split = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         long = self.learn(set().union(*split))
-        known, odd, out = self.words, self.odd, []
-        for parts, source in zip(split, texts, strict=True):
-            ids = b",".join([known[w] for w in parts])
-            if odd and not odd.keys().isdisjoint(parts):
-                text = b"".join([odd[w] if w in odd else w.replace(MARK, " ").encode("utf-8") for w in parts]).decode("utf-8", "replace")
-                text = text[1:] if text.startswith(" ") else text
-            else:
-                text = source.replace(MARK, " ")  # every word decodes to itself, and the space in front falls
-            out.append((ids.count(b",") + 1 if ids else 0, ids, text))
+        known, out = self.words, []
+        for parts in split:
+            ids = np.frombuffer(b"".join([known[w] for w in parts]), IDS).tolist()
+            out.append((len(ids), b",".join(map(self.digits.__getitem__, ids)), self.decode(ids)))
         for w in long:
             self.remembered -= ENTRY + 2 * len(w) + len(self.words.pop(w))
-            self.odd.pop(w, None)
         return out
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.digests([text or ""])[0][1].split(b",") if x]
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(self.surface[i] for i in ids).decode("utf-8", "replace")
+        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
