@@ -9,7 +9,8 @@ compacted and the rounds go on until no pair is left. Characters outside the voc
 than LONG characters (a text without spaces) would need as many rounds as it has merges: there the same merges, in the
 same order, are taken from a priority queue.
 
-Decoding takes a text's ids, never the text: their pieces in a row, without the space in front that escaping put there.
+Decoding takes a text's ids, never the text: their pieces in a row, byte pieces as UTF-8, each byte that is none as U+FFFD,
+without the space in front that escaping put there.
 
 Defined cases: null counts as empty; an empty text has no ids and decodes to an empty text. Whole texts are encoded,
 whatever their length; what a worker remembers of words is bounded (MEMORY_BYTES): the words of late in one half, those of
@@ -18,6 +19,7 @@ before in the other, which is forgotten when the first is full.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import re
@@ -39,6 +41,8 @@ NONE = np.int64(1) << 40
 #: Ids as they are remembered.
 IDS = np.dtype("<i4")
 
+codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
@@ -114,6 +118,7 @@ class Model:
         np.minimum.at(best, right, self.rank[whole])
         self.at_once = best > self.rank
         self.surface = [self._surface(p, k) for p, k in zip(self.pieces, kinds, strict=True)]
+        self.controls = {i for i, k in enumerate(kinds) if k == 3}
         self.digits = [str(i).encode() for i in range(len(self.pieces))]
         self.words: dict[str, bytes] = {}  # ids of words, as IDS
         self.before: dict[str, bytes] = {}
@@ -274,8 +279,14 @@ class Model:
         return [int(x) for x in self.digests([text or ""])[0][1].split(b",") if x]
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        parts = [ids]
+        if not self.controls.isdisjoint(ids):  # they have no text, but end a run of bytes
+            parts = [[]]
+            for i in ids:
+                parts[-1].append(i) if i not in self.controls else parts.append([])
+        text = "".join([b"".join(map(self.surface.__getitem__, x)).decode("utf-8", "each_byte") for x in parts])
+        first = next((x[0] for x in parts if x), None)  # the space in front is a piece's mark: no byte, no unknown
+        return text[1:] if first is not None and self.pieces[first].startswith(MARK) else text
 
 
 #: One model for each worker process and file.
