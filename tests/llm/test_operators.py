@@ -374,6 +374,23 @@ def test_neighbours_across_partitions(spark, parts):
             spark.conf.set(k, v)
 
 
+def screened(spark, monkeypatch, texts):
+    """Candidates that reach the screen, and the components, of texts."""
+    seen, screen = [], lsh_forest._screened
+    monkeypatch.setattr(lsh_forest, "_screened", lambda edges, signs: seen.append(edges.count()) or screen(edges, signs))
+    got = lsh_forest.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), 4, 80)
+    return sum(seen), {r["doc_id"]: r["component_id"] for r in got.collect()}
+
+
+@pytest.mark.parametrize("n", [150, 300])
+def test_candidates_of_near_copies_are_few(spark, monkeypatch, n):
+    """Not NEAR from every tree for each class of a large group, once the first trees have joined them."""
+    texts = grown(np.random.default_rng(5), [(200, n, 3)])
+    made, found = screened(spark, monkeypatch, texts)
+    assert made <= 15 * n
+    assert found == brute_components(texts, 4, 80)[0]
+
+
 def test_repeated_ids_are_one_node(spark):
     a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
     near = lambda rows: sorted({(r["doc_id"], r["component_id"]) for r in lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 80).collect()})

@@ -6,7 +6,9 @@
    region is a run with the same first DEPTH values, and inside it the next TAIL values decide. The rows next to each
    other (NEAR on either side) share the longest prefixes and are candidates; where a region is dense, its order is decided
    that much deeper, so the depth follows the density. Range partitions cut a hot region wherever needed, so none lands in
-   one task; the rows at a cut are paired afterwards.
+   one task; the rows at a cut are paired afterwards. The first EARLY trees go first: what their screened candidates have
+   joined is one part, and the other trees give no candidates inside a part, where they would join nothing more. So a
+   class in a large group of near copies takes part in few candidates more than those of EARLY trees.
 3. Candidates are screened by their signatures. Inside the clusters that they span, exact Jaccard similarity on full sets
    decides, for all pairs across groups and not only for the candidates. In blocks of BLOCK classes all pairs are tried.
    Groups of a larger cluster are then joined by confirming, round by round, the likeliest candidate of each two groups.
@@ -37,6 +39,8 @@ from pyspark.sql import functions as F
 from treeloom.llm.common import compact, short_batches, stored
 
 DEPTH, TREES, TAIL, NEAR = 4, 24, 16, 3
+#: Trees whose candidates are screened and joined before the others give theirs.
+EARLY = 3
 PERMUTATIONS = DEPTH * TREES
 SCREEN = 0.55
 #: Classes in a block, and hashes, at which a cluster is cut into more blocks.
@@ -110,8 +114,8 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     return short_batches(docs).select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, sign binary")
 
 
-def _tree_rows(signs: DataFrame) -> DataFrame:
-    """A row per class and tree: region (its first DEPTH values), a byte of each of the next TAIL values, node."""
+def _tree_rows(signs: DataFrame, trees: range) -> DataFrame:
+    """A row per class and tree: region (its first DEPTH values), a byte of each of the next TAIL values, node, its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -121,21 +125,21 @@ def _tree_rows(signs: DataFrame) -> DataFrame:
                     continue
                 sign = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, PERMUTATIONS)
                 turned = np.concatenate([sign, sign], axis=1)
-                for t in range(TREES):
+                for t in trees:
                     first = turned[:, t * DEPTH : (t + 1) * DEPTH].astype(np.uint64)
                     # the tree's number goes into the region, so that trees don't mix
                     region = _mix((first[:, 0] << np.uint64(48) | first[:, 1] << np.uint64(32) | first[:, 2] << np.uint64(16) | first[:, 3]) + np.uint64(t)).view(np.int64)
                     tail = np.ascontiguousarray(turned[:, (t + 1) * DEPTH : (t + 1) * DEPTH + TAIL].astype(np.uint8))
-                    yield pa.RecordBatch.from_arrays([pa.array(region), pa.array([x.tobytes() for x in tail], pa.binary()), batch.column(0)], names=["region", "tail", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(region), pa.array([x.tobytes() for x in tail], pa.binary()), batch.column(0), batch.column(2)], names=["region", "tail", "node", "part"])
 
-    return signs.select("node", "sign").mapInArrow(run, "region bigint, tail binary, node bigint")
+    return signs.select("node", "sign", "part").mapInArrow(run, "region bigint, tail binary, node bigint, part bigint")
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    """a, b: rows of a region with at most NEAR - 1 others between them in its order."""
+    """a, b: rows of a region with at most NEAR - 1 others between them in its order; none of the same part, where rows have parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, region, node, seen = 0, np.empty(0, np.int64), np.empty(0, np.int64), 0
+        part, region, node, own, seen = 0, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), 0
 
         def rows_of(a: np.ndarray, b: np.ndarray, place: np.ndarray | None = None) -> pa.RecordBatch:
             where = pa.nulls(len(a), pa.int32()) if place is None else pa.array(np.full(len(a), part, np.int32))
@@ -144,22 +148,24 @@ def _neighbours(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held, part = len(region), batch.column(2)[0].as_py()
+            held, part = len(region), batch.column(3)[0].as_py()
             region = np.concatenate([region, batch.column(0).to_numpy()])
             node = np.concatenate([node, batch.column(1).to_numpy()])
+            own = np.concatenate([own, batch.column(2).to_numpy()])
             if seen < NEAR:  # the partition's first rows: their region may have begun in the one before
                 some = min(NEAR - seen, batch.num_rows)
                 yield rows_of(region[held : held + some], node[held : held + some], np.arange(seen + 1, seen + some + 1))
             seen += batch.num_rows
             for lag in range(1, min(NEAR, len(region) - 1) + 1):
-                at = np.flatnonzero((region[lag:] == region[:-lag]) & (np.arange(lag, len(region)) >= held)) + lag
+                at = np.flatnonzero((region[lag:] == region[:-lag]) & (own[lag:] != own[:-lag]) & (np.arange(lag, len(region)) >= held)) + lag
                 if len(at):
                     yield rows_of(np.minimum(node[at], node[at - lag]), np.maximum(node[at], node[at - lag]))
-            region, node = region[-NEAR:], node[-NEAR:]
+            region, node, own = region[-NEAR:], node[-NEAR:], own[-NEAR:]
         yield rows_of(region, node, -np.arange(len(region), 0, -1))  # and the last ones, counted back from the end
 
+    rows = rows if "part" in rows.columns else rows.withColumn("part", F.col("node"))
     spread = rows.repartitionByRange("region", "tail", "node").sortWithinPartitions("region", "tail", "node")
-    found = stored(spread.select("region", "node", F.spark_partition_id()).mapInArrow(run, "a bigint, b bigint, part int, place int"), "neighbours", "medium")
+    found = stored(spread.select("region", "node", "part", F.spark_partition_id()).mapInArrow(run, "a bigint, b bigint, part int, place int"), "neighbours", "medium")
     near = found.where("part is null").select("a", "b")
     # a few rows for each partition
     ends = found.where("place < 0").select((F.col("part") + 1).alias("part"), F.col("a").alias("region"), F.col("b").alias("x"), F.col("place").alias("back"))
@@ -213,6 +219,16 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").where("a != b").mapInArrow(run, "v bigint, u bigint")
 
 
+def _candidates(signs: DataFrame) -> DataFrame:
+    """a, b, likeness of the candidates that pass the screen; those of the later trees only between what the early ones left apart."""
+    alone = signs.withColumn("part", F.col("node"))
+    early = stored(_screened(_neighbours(_tree_rows(alone, range(EARLY))), signs), "edges", "medium")
+    parts = components(early).select("node", F.col("component").alias("part"))
+    apart = signs.join(_bounded(parts), "node", "left").select("node", "sign", F.coalesce("part", "node").alias("part"))
+    late = stored(_screened(_neighbours(_tree_rows(apart, range(EARLY, TREES))), signs), "edges", "medium")
+    return early.union(late)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of a graph given as a, b: alternating large and small stars.
 
@@ -392,7 +408,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     able = every.where("set_key is not null and doc_id is not null")
     classes = stored(able.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("sign").alias("sign")), "classes", "medium")
     signs = classes.select("node", "sign")
-    edges = stored(_screened(_neighbours(_tree_rows(signs)), signs), "edges", "medium")
+    edges = _candidates(signs)
     repeated = not able.groupBy("doc_id").count().where("count > 1").isEmpty()
     links = None if edges.isEmpty() else _links(docs, edges, classes.select("node", "size"), width, percent, repeated)
     if repeated:  # an id joins the classes of all its rows
