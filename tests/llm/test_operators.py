@@ -391,6 +391,19 @@ def test_candidates_of_near_copies_are_few(spark, monkeypatch, n):
     assert found == brute_components(texts, 4, 80)[0]
 
 
+def test_prefix_filter_counts_common_hashes_once(spark, monkeypatch):
+    """Hashes that most classes of a cluster hold go to the classes as one array, not one by one."""
+    texts = grown(np.random.default_rng(9), [(100, 60, 5)])
+    sets = {i: sorted(set(lsh_forest.shingle_set(t.encode(), 4).view(np.int64).tolist())) for i, t in texts.items()}
+    seats = spark.createDataFrame([(i, 0, i) for i in sets], "node bigint, cluster bigint, part bigint")
+    tables, keep = {}, lsh_forest.stored
+    monkeypatch.setattr(lsh_forest, "stored", lambda df, name, *x: tables.setdefault(name, keep(df, name, *x)))
+    found = lsh_forest._across(seats, spark.createDataFrame(list(sets.items()), "node bigint, hashes array<bigint>"), 80)
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))}
+    one_by_one = tables["counted"].where("not often").agg(F.sum("n")).first()[0] or 0
+    assert one_by_one < sum(map(len, sets.values())) / 10
+
+
 def test_repeated_ids_are_one_node(spark):
     a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
     near = lambda rows: sorted({(r["doc_id"], r["component_id"]) for r in lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 80).collect()})

@@ -50,6 +50,8 @@ BROADCAST_IDS = 400_000
 SALTS = 16
 #: Rounds in which the likeliest candidates between groups of a cluster are confirmed.
 ROUNDS = 8
+#: A hash that more than one in COMMON of a cluster's classes hold is common: such hashes go to the classes as one array.
+COMMON = 8
 #: Edges that a task of components() contracts at once.
 CONTRACTED = 200_000
 
@@ -357,20 +359,32 @@ def _joined_groups(seats: DataFrame, edges: DataFrame, sets: DataFrame, percent:
 def _across(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """a, b: all links between parts of the same cluster, by an exact prefix filter; None if no cluster has two parts."""
     sizes = seats.groupBy("cluster", "part").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.sum("n").alias("nodes"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     main = stored(main, "mains", "small")
     if main.isEmpty():
         return None
-    rows = seats.join(main, "cluster").join(sets, "node").select("cluster", "node", "part", (F.col("part") == F.col("main")).alias("of_main"), F.size("hashes").alias("size"), F.xxhash64("hashes").alias("own"), "hashes")
-    each = rows.select("cluster", "node", "part", "of_main", "size", "own", F.explode("hashes").alias("hash"))
-    counted = each.groupBy("cluster", "hash").agg(F.count("*").alias("n"), (F.min("part") != F.max("part")).alias("mixed"))
-    ordered = F.sort_array(F.collect_list(F.struct("n", "hash", "mixed")))  # the rarest first; a document's own hashes
-    ranked = each.join(counted, ["cluster", "hash"]).groupBy("cluster", "node", "part", "of_main", "size", "own").agg(ordered.alias("o"))
+    rows = seats.join(main, "cluster").join(sets, "node").select("cluster", "nodes", "node", "part", (F.col("part") == F.col("main")).alias("of_main"), F.size("hashes").alias("size"), F.xxhash64("hashes").alias("own"), "hashes")
+    counted = rows.select("cluster", "nodes", "part", F.explode("hashes").alias("hash")).groupBy("cluster", "hash")
+    counted = counted.agg(F.count("*").alias("n"), (F.min("part") != F.max("part")).alias("mixed"), (F.count("*") * COMMON > F.max("nodes")).alias("often"))
+    counted = stored(counted.where("mixed").drop("mixed"), "counted", "medium")
+    in_order = lambda: F.sort_array(F.collect_list(F.struct("n", "hash")))["hash"]
+    # one order for all sets of a cluster: hashes of one part alone, which can't be shared across parts, then the rarest first
+    common = stored(counted.where("often").groupBy("cluster").agg(in_order().alias("common")), "common", "small")
+    rows = rows.join(common, "cluster", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>"))).withColumn("last", F.array_intersect("common", "hashes"))
+    known = ["cluster", "node", "part", "of_main", "size", F.size("last").alias("n_last")]
+    each = rows.select(*known, "own", F.explode(F.array_except("hashes", "common")).alias("hash")).join(counted.where("not often"), ["cluster", "hash"])
+    some = each.groupBy("cluster", "node", "part", "of_main", "size", "n_last", "own").agg(in_order().alias("some"))
     # a set of size s meets one at least as large with a hash at place p only if the rest can hold 2 * percent / (100 + percent)
     # of s, and one at most as large only if it can hold percent of s
-    rest = F.col("size") - F.col("place")
-    front = ranked.select("cluster", "node", "part", "of_main", "size", F.posexplode("o").alias("place", "x")).where(F.col("x.mixed") & (rest * 100 >= percent * F.col("size")))
-    front = stored(front.select("cluster", F.col("x.hash").alias("hash"), "node", "part", "of_main", "size", rest.alias("rest")), "fronts")
+    least = F.ceil(F.col("size") * percent / 100)
+
+    def fronts(of: DataFrame, hashes: str, left) -> DataFrame:
+        """The hashes of a node that have enough others after them; left is their number, with what follows these hashes."""
+        first = F.slice(hashes, 1, F.greatest(left - least + 1, F.lit(0)).cast("int"))
+        return of.select("cluster", "node", "part", "of_main", "size", left.alias("left"), F.posexplode(first).alias("place", "hash")).select("cluster", "hash", "node", "part", "of_main", "size", (F.col("left") - F.col("place")).alias("rest"))
+
+    front = fronts(some, "some", F.col("n_last") + F.size("some")).union(fronts(rows.select(*known, "last"), "last", F.col("n_last")))
+    front = stored(front, "fronts")
     small = front.where((100 + percent) * F.col("rest") >= 2 * percent * F.col("size"))
     named = lambda df, c: df.select("cluster", "hash", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "part", "size", "rest", "of_main")])
     pairs = None
